@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, minhash_dedup, token_counts
+from . import byte_bpe, exact_dedup, line_dedup, minhash_dedup, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_minhash_dedup": minhash_dedup.op9_minhash_dedup,
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
