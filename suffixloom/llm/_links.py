@@ -1,11 +1,12 @@
 """Candidate pairs from buckets, and connected components, as DataFrame operations only.
 
 Buckets are rows (bucket, id, n): ``id`` names a class of equal items, ``n`` is the size of its set.  Pairs within a
-bucket are never all made.  First every bucket gives sparse pairs: parts of at most ``PART`` items, each linked to the
-part's smallest item and each item to the next one in an order of its own, and the parts' smallest items to each other
-by a chain.  Verified pairs make components.  Then every bucket that still holds more than one component gives the
-pairs between its largest component and each item outside it, and between items outside it in different components:
-all other pairs lie inside a component and can't change it.  So no link between components is lost.
+bucket are never all made.  First every bucket is cut into parts of about ``PART`` items; each item is paired with the
+smallest of its part, and the smallest ones with each other in a chain.  Verified pairs make components.  Then, in
+buckets that still hold more than one component, items are paired with the next one in an order of the bucket's own,
+where their components differ.  At last every bucket that holds more than one component gives the pairs between its
+largest component and each item outside it, and between items outside it in different components: all other pairs lie
+inside a component and can't change it.  So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,27 +27,42 @@ def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def first_pairs(buckets: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
-    """Sparse pairs (a, b), a < b, of items that share a bucket.  ``could`` rules out pairs by their set sizes."""
+def _parts(buckets: DataFrame) -> DataFrame:
     many = buckets.groupBy("bucket").agg(F.count("*").alias("items")).where("items > 1")
     rows = buckets.join(many, "bucket")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("items") / PART)))
-    w = W.partitionBy("bucket", "part").orderBy("id")
-    chain = W.partitionBy("bucket", "part").orderBy(F.xxhash64("bucket", "id"), "id")
-    rows = rows.withColumn("me", F.struct("id", "n")).withColumn("lead", F.first("me").over(w)).withColumn("prev", F.lag("me").over(chain))
+    return rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("items") / PART)))
+
+
+def star_pairs(buckets: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a, b), a < b, of each item and the smallest of its part, and of the smallest ones of neighbouring parts."""
+    rows = _parts(buckets).withColumn("me", F.struct("id", "n"))
+    rows = rows.withColumn("lead", F.first("me").over(W.partitionBy("bucket", "part").orderBy("id")))
     leads = rows.where("items > %d AND lead.id = id" % PART)
     next_lead = W.partitionBy("bucket").orderBy("part")  # one row for each PART items
-    leads = leads.withColumn("prev", F.lag("me").over(next_lead)).select(F.array(F.struct(F.col("prev").alias("p"), F.col("me").alias("q"))).alias("pairs"))
-    pairs = rows.select(F.array(F.struct(F.col("lead").alias("p"), F.col("me").alias("q")), F.struct(F.col("prev").alias("p"), F.col("me").alias("q"))).alias("pairs"))
-    pairs = pairs.unionByName(leads).select(F.inline("pairs")).where("p IS NOT NULL AND p.id != q.id").where(could(F.col("p.n"), F.col("q.n")))
+    leads = leads.select(F.lag("me").over(next_lead).alias("p"), F.col("me").alias("q"))
+    pairs = rows.select(F.col("lead").alias("p"), F.col("me").alias("q")).unionByName(leads)
+    pairs = pairs.where("p IS NOT NULL AND p.id != q.id").where(could(F.col("p.n"), F.col("q.n")))
     return pairs.select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
 
 
+def chain_pairs(buckets: DataFrame, labels: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of neighbours, in an order of the bucket's own, that lie in different components."""
+    rows = _parts(buckets).join(labels, "id", "left").withColumn("me", F.struct("id", "n", F.coalesce("label", "id").alias("label")))
+    chain = W.partitionBy("bucket", "part").orderBy(F.xxhash64("bucket", "id"), "id")
+    pairs = rows.select(F.lag("me").over(chain).alias("p"), F.col("me").alias("q")).where("p.label != q.label")
+    return pairs.where(could(F.col("p.n"), F.col("q.n"))).select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
+
+
+def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets that hold more than one component."""
+    rows = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    keys = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    return rows.join(keys, "bucket", "left_semi").drop("label")
+
+
 def rest_pairs(buckets: DataFrame, labels: DataFrame, tried: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
     """All pairs that share a bucket and lie in different components, but those already tried."""
     rows = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-    rows = rows.join(mixed, "bucket", "left_semi")
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
     rows = rows.join(largest, "bucket")
@@ -90,13 +106,22 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[Column, Column], Column], scratch: Scratch) -> DataFrame:
     """Labels (id, label) of the components that verified pairs of the buckets make.  ``verify`` keeps pairs (a, b)."""
-    tried = scratch.table(first_pairs(buckets, could))
+    tried = scratch.table(star_pairs(buckets, could))
     links = scratch.table(verify(tried))
     labels = components(links, scratch)
-    more = scratch.table(rest_pairs(buckets, labels, tried, could))
-    if more.isEmpty():
-        return labels
-    found = scratch.table(verify(more))
-    if found.isEmpty():
-        return labels
-    return components(links.unionByName(found), scratch)
+    for more in (chain_pairs, None):
+        open_ = scratch.table(mixed(buckets, labels))
+        if open_.isEmpty():
+            return labels
+        buckets = open_
+        pairs = chain_pairs(buckets, labels, could).join(tried, ["a", "b"], "left_anti") if more else rest_pairs(buckets, labels, tried, could)
+        pairs = scratch.table(pairs)
+        if pairs.isEmpty():
+            continue
+        found = scratch.table(verify(pairs))
+        tried = tried.unionByName(pairs)
+        if found.isEmpty():
+            continue
+        links = links.unionByName(found)
+        labels = components(links, scratch)
+    return labels
