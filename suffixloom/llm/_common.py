@@ -79,14 +79,31 @@ def bitmap_of(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     )
 
 
-def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose key may be in the bitmap; no row whose key is in it is lost."""
-    slot = _slot(F.col(key), bits)
+def _bit(slot: Column) -> Column:
     pos = F.bitmap_bit_position(slot)
     byte = F.conv(F.hex(F.substring(F.col("filter_bits"), (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        rows.withColumn("filter_bucket", F.bitmap_bucket_number(slot))
-        .join(F.broadcast(bitmap), "filter_bucket")
-        .where(F.getbit(byte, (pos % 8).cast("int")) == 1)
-        .drop("filter_bucket", "filter_bits")
-    )
+    return F.getbit(byte, (pos % 8).cast("int")) == 1
+
+
+def _with_bits(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, how: str) -> tuple[DataFrame, Column]:
+    slot = _slot(F.col(key), bits)
+    return rows.withColumn("filter_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "filter_bucket", how), _bit(slot)
+
+
+def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key may be in the bitmap; no row whose key is in it is lost."""
+    found, bit = _with_bits(rows, key, bitmap, bits, "inner")
+    return found.where(bit).drop("filter_bucket", "filter_bits")
+
+
+def surely_out(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The other rows: their key isn't in the bitmap."""
+    found, bit = _with_bits(rows, key, bitmap, bits, "left")
+    return found.where(F.col("filter_bits").isNull() | ~bit).drop("filter_bucket", "filter_bits")
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """A left anti join on ``key`` that shuffles only rows that may go.  ``gone`` is read twice."""
+    bitmap = bitmap_of(gone, key, bits)
+    some = maybe_in(rows, key, bitmap, bits).join(gone.select(key).distinct().hint("merge"), key, "left_anti")
+    return surely_out(rows, key, bitmap, bits).select(rows.columns).unionByName(some.select(rows.columns))

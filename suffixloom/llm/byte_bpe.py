@@ -91,8 +91,8 @@ def bpe_decode(rows: DataFrame, ranks_path: str, pattern: str, ids_col: str = "i
     return rows.withColumn("decoded", back(F.col(ids_col)))
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids and bytes stay in the worker."""
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids where asked for."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(it):
@@ -101,14 +101,16 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         c = coder(ranks_path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for pdf in it:
-            texts, n, a_sha, b_sha = pdf["text"].tolist(), [], [], []
+            texts, n, a_sha, b_sha, kept = pdf["text"].tolist(), [], [], [], []
             for a, b in batches(texts):
                 for ids in c.encode(texts[a:b]):
+                    kept += [ids] if with_ids else []
                     n.append(len(ids) // 4), a_sha.append(sha(ids)), b_sha.append(sha(c.decode(ids)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a_sha, "decoded_sha256": b_sha})
+            out = {"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a_sha, "decoded_sha256": b_sha}
+            yield pd.DataFrame(out | ({"ids": kept} if with_ids else {}))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
