@@ -4,9 +4,11 @@ Buckets are rows (bucket, id, n): ``id`` names a class of equal items, ``n`` is
 bucket are never all made.  First every bucket is cut into parts of about ``PART`` items; each item is paired with the
 smallest of its part, and the smallest ones with each other in a chain.  Verified pairs make components.  Then, in
 buckets that still hold more than one component, items are paired with the next one in an order of the bucket's own,
-where their components differ.  At last every bucket that holds more than one component gives the pairs between its
-largest component and each item outside it, and between items outside it in different components: all other pairs lie
-inside a component and can't change it.  So no link between components is lost.
+where their components differ.  At last the items of buckets that still hold more than one component are joined by a
+prefix filter on their sets: elements are ordered by how rare they are, and two sets of the wanted similarity share one
+of their first elements, at places from which they can still reach the overlap.  Of those pairs only the ones between
+components are made: others can't change a component.  So no link between components is lost, and sets that differ in
+many elements of their own make no pairs, however large their group is.
 """
 
 from __future__ import annotations
@@ -60,15 +62,23 @@ def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(keys, "bucket", "left_semi").drop("label")
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, tried: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
-    """All pairs that share a bucket and lie in different components, but those already tried."""
-    rows = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m")).select("bucket", F.col("m.label").alias("main"))
-    rows = rows.join(largest, "bucket")
-    outside = rows.where("label != main").select("bucket", F.struct("id", "n", "label").alias("p"))
-    every = rows.select("bucket", F.struct("id", "n", "label").alias("q"), (F.col("label") == F.col("main")).alias("in_main"))
-    pairs = outside.join(every, "bucket").where("p.label != q.label AND (in_main OR p.id < q.id)").where(could(F.col("p.n"), F.col("q.n")))
+def rest_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, similarity: int) -> DataFrame:
+    """All pairs of the buckets' items that may be similar and lie in different components, but those already tried."""
+    ids = buckets.select("id").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    elements = sets.join(ids, "id").select("id", "label", F.size("items").cast("long").alias("n"), F.explode("items").alias("e"))
+    common = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = elements.join(common, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    ranked = ranked.withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("df", "e")) - 1)
+    # the element at pos is the first shared one at best, so n - pos is the largest overlap
+    first = ranked.where("df > 1").where((F.col("n") - F.col("pos")) * 100 >= F.col("n") * similarity)
+    sizes = first.groupBy("e", "label").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("e").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("m.label").alias("main"))
+    rows = first.join(largest, "e").withColumn("me", F.struct("id", "n", "label", "pos"))
+    outside = rows.where("label != main").select("e", F.col("me").alias("p"))
+    every = rows.select("e", F.col("me").alias("q"), (F.col("label") == F.col("main")).alias("in_main"))
+    left = F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos"))
+    reach = left * (100 + similarity) >= (F.col("p.n") + F.col("q.n")) * similarity
+    pairs = outside.join(every, "e").where("p.label != q.label AND (in_main OR p.id < q.id)").where(reach)
     return pairs.select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct().join(tried, ["a", "b"], "left_anti")
 
 
@@ -104,8 +114,11 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(out)
 
 
-def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[Column, Column], Column], scratch: Scratch) -> DataFrame:
-    """Labels (id, label) of the components that verified pairs of the buckets make.  ``verify`` keeps pairs (a, b)."""
+def link_all(buckets: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[Column, Column], Column], similarity: int, scratch: Scratch) -> DataFrame:
+    """Labels (id, label) of the components that verified pairs of the buckets make.
+
+    ``sets`` has (id, items); ``verify`` keeps the pairs (a, b) of ``similarity`` per cent or more.
+    """
     tried = scratch.table(star_pairs(buckets, could))
     links = scratch.table(verify(tried))
     labels = components(links, scratch)
@@ -114,7 +127,7 @@ def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could
         if open_.isEmpty():
             return labels
         buckets = open_
-        pairs = chain_pairs(buckets, labels, could).join(tried, ["a", "b"], "left_anti") if more else rest_pairs(buckets, labels, tried, could)
+        pairs = chain_pairs(buckets, labels, could).join(tried, ["a", "b"], "left_anti") if more else rest_pairs(buckets, labels, sets, tried, similarity)
         pairs = scratch.table(pairs)
         if pairs.isEmpty():
             continue
