@@ -17,16 +17,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed lexicon, affix and n-gram features."""
-    names = ["w=" + word]
-    for k in (1, 2, 3):
-        if len(word) > k:
-            names += [f"p{k}={word[:k]}", f"s{k}={word[-k:]}"]
-    edged = f"^{word[:40]}$"
-    for k in (2, 3):
-        names += [f"g={edged[i : i + k]}" for i in range(len(edged) - k + 1)]
-    names += [f"c={c}" for c in set(word[:40]) if c > "\x7f"]
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for n in names]
+    """Hashed lexicon, affix and n-gram features: of the whole word, of both ends, and of all three-byte runs."""
+    b = b"^" + word.encode("utf-8", "surrogatepass")[:60] + b"$"
+    crc, mask = zlib.crc32, BUCKETS - 1
+    out = [crc(b, 1) & mask]
+    for k in (2, 3, 4):
+        out += (crc(b[:k], 2) & mask, crc(b[-k:], 3) & mask)
+    out += [crc(b[i : i + 3]) & mask for i in range(len(b) - 2)]
+    return out
 
 
 def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,28 +78,33 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray, init: np.ndarray):
         self.labels, self.weights, self.trans, self.init = labels, weights, trans, init
 
-    def score(self, word: str) -> np.ndarray:
-        return self.weights[features(word)].sum(axis=0)
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the sums of its features' weights."""
+        found = [features(w) for w in words]
+        count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        flat = np.fromiter((f for fs in found for f in fs), dtype=np.int64, count=int(count.sum()))
+        return np.add.reduceat(self.weights[flat].astype(np.float64), np.cumsum(count) - count, axis=0)
 
 
 class Reader:
     """Labels texts; keeps the scores of the words it has met, a bounded number of them."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
+    def __init__(self, model: Model, limit: int = 600_000):
         self.model, self.limit, self.rows = model, limit, {}
         self.table = np.zeros((1024, len(model.labels)))
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.rows]
+        new = list(set(words).difference(self.rows.keys())) if len(words) < len(self.rows) else [w for w in set(words) if w not in self.rows]
         if len(self.rows) + len(new) > self.limit and self.rows:
             self.rows, new = {}, list(set(words))
         if len(self.rows) + len(new) > len(self.table):
             grown = np.zeros((2 * (len(self.rows) + len(new)), self.table.shape[1]))
             grown[: len(self.rows)] = self.table[: len(self.rows)]
             self.table = grown
-        for w in new:
-            self.rows[w] = n = len(self.rows)
-            self.table[n] = self.model.score(w)
+        if new:
+            n = len(self.rows)
+            self.table[n : n + len(new)] = self.model.scores(new)
+            self.rows.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
