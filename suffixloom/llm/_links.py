@@ -56,9 +56,9 @@ def chain_pairs(buckets: DataFrame, labels: DataFrame, could: Callable[[Column,
 
 
 def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets that hold more than one component."""
+    """The buckets that hold more than one component.  Of two items the one pair is tried, so such buckets are done."""
     rows = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    keys = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    keys = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("items")).where("lo != hi AND items > 2").select("bucket")
     return rows.join(keys, "bucket", "left_semi").drop("label")
 
 
