@@ -33,6 +33,7 @@ RUN = 20
 MARGIN = 12.0
 SAMPLE_ROWS = 2_000
 RANDOM_STRINGS = 3_000
+BACK_OFF = 20.0  # pairs that the share of a character weighs
 _CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % RUN
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
@@ -78,10 +79,13 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> lis
     size = len(ALPHABET)
 
     def logs(strings: DataFrame) -> list[list[float]]:
-        counts = [[1.0] * size for _ in range(size)]
+        """Log-probabilities of y after x, smoothed towards how frequent y is in its class."""
+        counts = [[0.0] * size for _ in range(size)]
         for r in _pairs(strings).collect():  # as many rows as the alphabet has pairs, at most
             counts[ALPHABET.index(r.x)][ALPHABET.index(r.y)] += r["n"]
-        return [[math.log(c / sum(row)) for c in row] for row in counts]
+        each = [sum(row[k] for row in counts) + 0.5 for k in range(size)]
+        share = [e / sum(each) for e in each]
+        return [[math.log((c + BACK_OFF * s) / (sum(row) + BACK_OFF)) for c, s in zip(row, share)] for row in counts]
 
     a, b = logs(random), logs(ordinary)
     return [round(x - y, 9) for p, q in zip(a, b) for x, y in zip(p, q)]
