@@ -76,6 +76,7 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> lis
     random = values.unionByName(made).select(F.explode(F.regexp_extract_all("s", F.lit("([A-Za-z0-9+/_-]{8,})"), 1)).alias("s"))
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     ordinary = texts.select(F.explode(F.regexp_extract_all(rest, F.lit("([A-Za-z0-9+/_-]{3,})"), 1)).alias("s"))
+    ordinary = ordinary.where(F.length("s") < RUN)  # what may be a secret itself isn't a sample of ordinary words
     size = len(ALPHABET)
 
     def logs(strings: DataFrame) -> list[list[float]]:
