@@ -425,14 +425,6 @@ def knn_topk(v: Views) -> DataFrame:
     return vectors.nearest(vs.where("length(word) = 4").select("word"), vs, 5).select("word", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-@query(None)
-def knn_closure(v: Views) -> DataFrame:
-    vs = v.vectors()
-    knn = vectors.nearest(vs.select("word"), vs, 10)
-    seeds = vs.where("length(word) = 4").select("word")
-    return trie.closure(seeds, knn, seeds.select("word", F.substring("word", 1, 2).alias("stem")))
-
-
 @query(None)
 def nested_segment(v: Views) -> DataFrame:
     return vectors.nested_segment(v.lexicon(LEAST_NESTED), v.vectors(), 0.05).select("word", "freq", "found", seg())
