@@ -5,7 +5,7 @@ bucket are never all made.  First every bucket is cut into parts of about ``PART
 smallest of its part, and the smallest ones with each other in a chain.  Verified pairs make components.  Then, in
 buckets that still hold more than one component, items are paired with the next one in an order of the bucket's own,
 where their components differ.  At last the items of buckets that still hold more than one component are joined by a
-prefix filter on their sets: elements are ordered by how rare they are, and two sets of the wanted similarity share one
+prefix filter on their sets: elements are ordered by how rare a count sketch takes them for, and two sets of the wanted similarity share one
 of their first elements, at places from which they can still reach the overlap.  Of those pairs only the ones between
 components are made: others can't change a component.  So no link between components is lost, and sets that differ in
 many elements of their own make no pairs, however large their group is.
@@ -23,6 +23,7 @@ from ._common import Scratch
 
 PART = 512
 JUMPS = 3
+SLOTS = 1 << 17  # of each of two rows of counts
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -62,18 +63,45 @@ def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(keys, "bucket", "left_semi").drop("label")
 
 
-def rest_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, tried: DataFrame, similarity: int) -> DataFrame:
+def _rarity(elements: DataFrame) -> bytes:
+    """For each slot of an element a byte that grows with how often it occurs in ``elements``, 0 if that is once.
+
+    They are 2 * SLOTS bytes for any input.  Elements that share a slot seem more frequent, which changes the order
+    of elements and never a result.
+    """
+    slots = elements.select(F.explode(F.array(*_slots(F.col("e")))).alias("slot")).groupBy("slot").agg(F.count("*").alias("k"))
+    zeros = elements.sparkSession.range(2 * SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("k"))
+    counts = slots.unionByName(zeros).groupBy("slot").agg(F.sum("k").alias("k"))
+    level = F.least(F.lit(255), F.floor(8 * F.log2(F.greatest("k", F.lit(1)))))
+    byte = counts.select("slot", F.lpad(F.hex(level.cast("long")), 2, "0").alias("x"))
+    row = byte.agg(F.sort_array(F.collect_list(F.struct("slot", "x"))).alias("t")).select(F.unhex(F.array_join(F.transform("t", lambda x: x["x"]), ""))).first()
+    return bytes(row[0])
+
+
+def _ordered_items(items: Column, rarity: bytes) -> Column:
+    """Structs (df, e), rare elements first.  The bytes are bound once, so that plans hold them once."""
+    df = lambda t, e: F.least(*(F.substring(t, slot.cast("int") + 1, F.lit(1)) for slot in _slots(e)))
+    return F.transform(F.array(F.lit(rarity)), lambda t: F.sort_array(F.transform(items, lambda e: F.struct(df(t, e).alias("df"), e.alias("e")))))[0]
+
+
+def _slots(e: Column) -> list[Column]:
+    return [e.bitwiseAND(SLOTS - 1), F.shiftrightunsigned(e, 24).bitwiseAND(SLOTS - 1) + SLOTS]
+
+
+def rest_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, items: Column, tried: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     """All pairs of the buckets' items that may be similar and lie in different components, but those already tried."""
     ids = buckets.select("id").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    elements = sets.join(ids, "id").select("id", "label", F.size("items").cast("long").alias("n"), F.explode("items").alias("e"))
-    common = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = elements.join(common, "e", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = ranked.withColumn("pos", F.row_number().over(W.partitionBy("id").orderBy("df", "e")) - 1)
+    sets = scratch.table(sets.join(ids, "id"))  # what the sets are made of: they can be several times as large
+    rarity = _rarity(sets.select(F.explode(items).alias("e")))
+    ranked = sets.select("id", "label", _ordered_items(items, rarity).alias("order"))
+    ranked = ranked.withColumn("n", F.size("order").cast("long"))
     # the element at pos is the first shared one at best, so n - pos is the largest overlap
-    first = ranked.where("df > 1").where((F.col("n") - F.col("pos")) * 100 >= F.col("n") * similarity)
+    most = F.floor(F.col("n") * (100 - similarity) / 100).cast("int") + 1
+    first = ranked.select("id", "label", "n", F.posexplode(F.slice("order", F.lit(1), most)).alias("pos", "x"))
+    first = scratch.table(first.where("x.df != X'00'").where((F.col("n") - F.col("pos")) * 100 >= F.col("n") * similarity).select("id", "label", "n", "pos", F.col("x.e").alias("e")))
     sizes = first.groupBy("e", "label").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("e").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("m.label").alias("main"))
-    rows = first.join(largest, "e").withColumn("me", F.struct("id", "n", "label", "pos"))
+    rows = scratch.table(first.join(largest, "e").withColumn("me", F.struct("id", "n", "label", "pos")).select("e", "label", "main", "me"))
     outside = rows.where("label != main").select("e", F.col("me").alias("p"))
     every = rows.select("e", F.col("me").alias("q"), (F.col("label") == F.col("main")).alias("in_main"))
     left = F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos"))
@@ -114,27 +142,35 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(out)
 
 
-def link_all(buckets: DataFrame, sets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Callable[[Column, Column], Column], similarity: int, scratch: Scratch) -> DataFrame:
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels after more links: only components that these join are worked on."""
+    of_a = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
+    of_b = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = components(ends, scratch)
+    old = labels.join(up.select(F.col("id").alias("label"), F.col("label").alias("up")), "label", "left").select("id", F.coalesce("up", "label").alias("label"))
+    return scratch.table(old.unionByName(up.join(labels, "id", "left_anti")))
+
+
+def link_all(buckets: DataFrame, sets: DataFrame, items: Column, verify: Callable[[DataFrame], DataFrame], could: Callable[[Column, Column], Column], similarity: int, scratch: Scratch) -> DataFrame:
     """Labels (id, label) of the components that verified pairs of the buckets make.
 
-    ``sets`` has (id, items); ``verify`` keeps the pairs (a, b) of ``similarity`` per cent or more.
+    ``sets`` has the id and what ``items``, the distinct 64-bit elements, is made of; ``verify`` keeps the pairs (a, b)
+    of ``similarity`` per cent or more.
     """
     tried = scratch.table(star_pairs(buckets, could))
-    links = scratch.table(verify(tried))
-    labels = components(links, scratch)
-    for more in (chain_pairs, None):
-        open_ = scratch.table(mixed(buckets, labels))
-        if open_.isEmpty():
+    labels = components(scratch.table(verify(tried)), scratch)
+    for last in (False, True):
+        buckets = scratch.table(mixed(buckets, labels))
+        if buckets.isEmpty():
             return labels
-        buckets = open_
-        pairs = chain_pairs(buckets, labels, could).join(tried, ["a", "b"], "left_anti") if more else rest_pairs(buckets, labels, sets, tried, similarity)
+        if last:
+            pairs = rest_pairs(buckets, labels, sets, items, tried, similarity, scratch)
+        else:
+            pairs = chain_pairs(buckets, labels, could).join(tried, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs)
-        if pairs.isEmpty():
-            continue
         found = scratch.table(verify(pairs))
         tried = tried.unionByName(pairs)
-        if found.isEmpty():
-            continue
-        links = links.unionByName(found)
-        labels = components(links, scratch)
+        if not found.isEmpty():
+            labels = merged(labels, found, scratch)
     return labels
