@@ -102,6 +102,20 @@ def test_line_dedup_against_all_pairs(spark, prose):
     assert line_dedup(docs(spark, [])).count() == 0
 
 
+def _left_of_pair(spark, a, b):
+    """Whether line dedup keeps the second of two lines."""
+    from suffixloom.llm.line_dedup import line_dedup
+
+    return {r.doc_id: r.text for r in line_dedup(docs(spark, [(1, a), (2, b)])).collect()}[2] != ""
+
+
+def test_line_dedup_of_lines_that_differ_in_words_and_length(spark):
+    cjk = "".join(chr(0x4E00 + random.Random(7).randrange(9000) + i) for i in range(400))
+    assert not _left_of_pair(spark, cjk, cjk + " a" * 19)
+    assert not _left_of_pair(spark, "Introduction " + ". " * 50 + "5", "Introduction " + ". " * 100 + "5")
+    assert _left_of_pair(spark, cjk, cjk[:200] + "一" * 200)
+
+
 def test_bpe_and_token_counts_against_the_libraries(spark):
     import public_tokenizers as P
     import tiktoken
