@@ -116,6 +116,22 @@ def test_line_dedup_of_lines_that_differ_in_words_and_length(spark):
     assert _left_of_pair(spark, cjk, cjk[:200] + "一" * 200)
 
 
+def test_line_dedup_of_small_sets_against_all_pairs(spark):
+    from suffixloom.llm.line_dedup import line_dedup
+
+    texts = ["Read more >", "Read more >>", "-" * 10, "-" * 20, "* * * * *", "* * * * * * * *", "Read more", "Share", "share", "Share "]
+    rng = random.Random(11)
+    for n in range(9, 17):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(n)).strip() or "z"
+        texts += [base, base + "x", "y" + base, base + "uv", base[:-1] + "q"]
+    texts = list(dict.fromkeys(texts))
+    sets = [{x[i : i + 8] for i in range(max(len(x) - 7, 1))} for x in texts]
+    comp = _components(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, list(enumerate(texts)))).collect()}
+    assert [i for i in got if got[i] == ""] and not {1, 3, 5} & {i for i in got if got[i]}
+    assert {i: bool(t) for i, t in got.items()} == {i: comp[i] == i for i in range(len(texts))}
+
+
 def test_bpe_and_token_counts_against_the_libraries(spark):
     import public_tokenizers as P
     import tiktoken
