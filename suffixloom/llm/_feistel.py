@@ -17,10 +17,10 @@ PATTERN = re.compile(
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-]))"
+    r"|(?P<iso>(?<![\w-])\d{4}-\d{2}-\d{2}(?=T\d{2}|(?![\w-])))"
     r"|(?P<date>(?<![\w./-])\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)\d{4}(?![\w/]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w])(?:\d{13,19}|\d{4}(?P<cs>[ -])\d{4}(?P=cs)\d{4}(?P=cs)\d{4})(?![\w]))"
+    r"|(?P<card>(?<![\w])(?:\d{13,19}|\d{4}(?P<cs>[ -])\d{4}(?P=cs)\d{4}(?P=cs)\d{4}|\d{4}(?P<as>[ -])\d{6}(?P=as)\d{5})(?![\w]))"
 )
 KINDS = ("email", "iban", "phone", "ip", "date", "ssn", "card")
 
@@ -164,12 +164,20 @@ class Pseudonyms:
 
     def replace(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds of what was replaced."""
-        out, kinds, at = [], [], 0
-        for m in PATTERN.finditer(text):
+        out, kinds, at, start = [], [], 0, 0
+        while m := PATTERN.search(text, start):
             kind = next(k for k in ("email", "iban", "phone", "ip", "iso", "date", "ssn", "card") if m[k] is not None)
-            new = self.of(kind, m[0])
-            if new is not None:
-                out += [text[at : m.start()], new]
-                at = m.end()
-                kinds.append("date" if kind == "iso" else kind)
+            end, new = m.end(), self.of(kind, m[0])
+            if new is None and kind == "iban":
+                # the match may have taken words that follow: try what ends before each of its blanks, longest first
+                for end in reversed([m.start() + i for i, c in enumerate(m[0]) if c == " "]):
+                    if (new := self.of(kind, text[m.start() : end])) is not None:
+                        break
+            if new is None:
+                # what the match took may hold another value
+                start = m.start() + 1 if kind == "iban" else m.end()
+                continue
+            out += [text[at : m.start()], new]
+            at = start = end
+            kinds.append("date" if kind == "iso" else kind)
         return ("".join(out) + text[at:] if out else text), kinds

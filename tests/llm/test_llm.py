@@ -191,6 +191,20 @@ def test_feistel_is_a_permutation():
     assert luhn_digit(card[:-1]) == int(card[-1])
 
 
+def test_pseudonyms_of_values_beside_other_words():
+    from suffixloom.llm._feistel import Pseudonyms, _mod97
+
+    p = Pseudonyms(b"k")
+    for iban, after in (("ES91 2100 0418 4502 0005 1332", " BIC"), ("BE68539007547034", " 12"), ("BE68 5390 0754 7034", " EUR 2024-05-06")):
+        text, kinds = p.replace(iban + after)
+        new, bare = text[: len(iban)], text[: len(iban)].replace(" ", "")
+        assert kinds[0] == "iban" and new != iban and _mod97(bare[4:] + bare[:4]) == 1 and text[len(iban) :].startswith(after[:4])
+    assert p.replace("AB12 CDEF 1234 4845168114407329")[1] == ["card"]
+    assert p.replace("at 2024-05-06T10:00Z")[1] == ["date"] and p.replace("2024-05-06Tx 2024-05-06-1")[1] == []
+    text, kinds = p.replace("card 3782 822463 10005.")
+    assert kinds == ["card"] and "3782 822463" not in text and [len(x) for x in text.split()[1:]] == [4, 6, 6]
+
+
 def test_secrets_base_spans(spark):
     from suffixloom.llm.secrets import find_secrets, fit, joined
 
