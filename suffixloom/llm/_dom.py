@@ -32,27 +32,28 @@ _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "main")
+    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "main", "marked")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, main: bool = False):
-        self.tag, self.parent, self.kids, self.drop, self.main = tag, parent, [], drop, main
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, main: bool = False, marked: bool = False):
+        self.tag, self.parent, self.kids, self.drop, self.main, self.marked = tag, parent, [], drop, main, marked
         self.density = self.total = 0.0
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is boilerplate by its name or attributes, and whether it says it is the main part."""
-    drop, main = tag in BOILERPLATE, tag in ("article", "main")
+def _marked(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Whether the element is boilerplate by its name, role or style, whether it says it is the main part, and whether
+    its class or id has one of the words of boilerplate."""
+    drop, main, marked = tag in BOILERPLATE, tag in ("article", "main"), False
     if attrs.strip(" /"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
                 words = set(re.split(r"[^a-z]+", value))
-                drop = drop or bool(words & MARKS) and tag not in ("body", "html", "article", "main")
+                marked = marked or bool(words & MARKS)
             elif name == "role":
                 drop, main = drop or value in ROLES, main or value in ("main", "article")
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 drop = True
-    return drop, main
+    return drop, main, marked
 
 
 def parse(text: str) -> Node:
@@ -95,8 +96,7 @@ def parse(text: str) -> Node:
                     up = up.parent
                 if last is not None:
                     node = last.parent
-        drop, main = _marked(name, m["attrs"])
-        new = Node(name, node, drop, main)
+        new = Node(name, node, *_marked(name, m["attrs"]))
         node.kids.append(new)
         if name in VOID or m["attrs"].rstrip().endswith("/"):
             continue
@@ -119,6 +119,26 @@ def _post_order(root: Node) -> list[Node]:
     return out[::-1]
 
 
+def drop_marked(root: Node) -> None:
+    """Drop marked elements, but not those named after what they sit beside.
+
+    These hold the largest article or main part, or most of the text of the part they are in: of the page, where it
+    has no such part.
+    """
+    nodes = _post_order(root)
+    for n in nodes:
+        n.chars = sum(len("".join(k.split())) if isinstance(k, str) else 0 if k.drop else k.chars for k in n.kids)
+    mains = [n for n in nodes if n.main and not n.marked and n.chars]
+    largest = max(mains, key=lambda n: n.chars, default=None)
+    for n in nodes:
+        if n.marked and n.tag not in ("body", "html", "article", "main"):
+            part = n.parent
+            while part is not None and part.parent is not None and not part.main:
+                part = part.parent
+            most = n.chars * 2 > part.chars and (part.main or largest is None)
+            n.drop = not (most or largest is not None and _holds(n, largest))
+
+
 def measure(root: Node) -> list[Node]:
     """Composite text density and its sum over children, for every node that isn't boilerplate; children first."""
     nodes = _post_order(root)
@@ -149,6 +169,7 @@ def measure(root: Node) -> list[Node]:
 
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees of largest density sum whose density reaches the least on the path from the densest node to the body."""
+    drop_marked(root)
     nodes = measure(root)
     if not nodes or not nodes[-1].chars:
         return []
@@ -178,7 +199,7 @@ def main_nodes(root: Node) -> list[Node]:
             picked.append(n)
         elif n.drop or not n.chars:
             continue
-        elif n is not body and n.density >= threshold and not _holds(n, best) and n.link_chars * 2 < n.chars and n.parent is best.parent:
+        elif n is not body and n.density >= threshold and not _holds(n, best) and n.link_chars * 2 < n.chars and n.tag not in INLINE:
             picked.append(n)
         else:
             todo += [k for k in reversed(n.kids) if isinstance(k, Node)]

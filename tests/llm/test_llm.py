@@ -166,6 +166,20 @@ def test_html():
     assert extract("<div class=sidebar>s</div><div><p>first part of text</p><p>second part of text</p></div>") == "first part of text\nsecond part of text"
 
 
+def test_html_of_wrappers_and_rows():
+    from suffixloom.llm._dom import extract
+
+    text = "A long paragraph of the article, with some more words to read in it."
+    for name in ("layout has-sidebar", "no-sidebar", "nav-open", "header-fixed", "content-share"):
+        for tag in ("article", "div"):
+            page = f"<body><div class='{name}'><div class=sidebar>links</div><{tag}><p>{text}</p><p>{text}</p></{tag}></div><div class=comments>reader says</div></body>"
+            assert extract(page) == f"{text}\n{text}"
+    row = "<div class=row><div class=col>" + f"<p>{text}</p><p>{text}</p>" + "</div></div>"
+    assert extract(f"<body><div id=wrap>{row}{row}</div><div class=footer>end</div></body>") == "\n".join([text] * 4)
+    cards = "<div class=related><article><p>a teaser</p></article></div><div id=comments><article class=comment-body><p>" + text * 4 + "</p></article></div>"
+    assert extract(f"<body><main><p>{text}</p><p>{text}</p></main>{cards}</body>") == f"{text}\n{text}"
+
+
 def test_tiles_and_contamination(spark):
     from suffixloom.llm._tiling import tiles
     from suffixloom.llm.decontaminate import contamination, without_contaminated
