@@ -6,6 +6,8 @@ against a snapshot of the counts and then recounts: the published approximation
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -112,12 +114,12 @@ def draw(candidates: DataFrame, sweep: int, level: int, seed: int) -> DataFrame:
     return rows.select("word", "idx", "stem", "suffix")
 
 
-def gibbs_sweep(segments: DataFrame, grams: str, model: str, separated: bool, sweep: int = 1, p: Params = DEFAULT, levels: int = 22) -> DataFrame:
+def gibbs_sweep(segments: DataFrame, grams: str, model: str, separated: bool, sweep: int = 1, p: Params = DEFAULT) -> DataFrame:
     """(word, morphs) after one sweep: every word is split again and again at its left part until it stays whole."""
     tables = count_tables(segments, separated)
     tables = tuple(t.persist() for t in tables)
     state = segments.select("word", F.col("word").alias("left"), F.array().cast("array<string>").alias("tail"), F.lit(False).alias("done"))
-    for level in range(levels):
+    for level in count():
         open_ = state.where("NOT done").select(F.col("left").alias("word")).distinct()
         if level and open_.isEmpty():
             break
@@ -128,7 +130,7 @@ def gibbs_sweep(segments: DataFrame, grams: str, model: str, separated: bool, sw
             F.when(F.col("done"), F.col("left")).otherwise(F.coalesce("stem", "left")).alias("left"),
             F.when(F.col("done") | F.col("whole"), F.col("tail")).otherwise(F.concat(F.array("suffix"), F.col("tail"))).alias("tail"),
             (F.col("done") | F.coalesce("whole", F.lit(True))).alias("done"),
-        ).persist()
+        ).localCheckpoint()  # fmt: skip  # a plan over itself twice would double at every level
     return state.select("word", F.concat(F.array("left"), F.col("tail")).alias("morphs"))
 
 

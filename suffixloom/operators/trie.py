@@ -102,15 +102,15 @@ def without_keys(keys: DataFrame, gone: DataFrame) -> DataFrame:
     return keys.join(gone, "word", "left_anti")
 
 
-def closure(seeds: DataFrame, knn: DataFrame, stems: DataFrame, rounds: int = 20) -> DataFrame:
+def closure(seeds: DataFrame, knn: DataFrame, stems: DataFrame) -> DataFrame:
     """(trie_id, word): what is reached from a seed over neighbours that begin with the seed's stem."""
     found = seeds.select(F.col("word").alias("trie_id"), "word")
     frontier = found
     step = knn.select(F.col("word"), F.col("neighbour")).persist()  # read in every round
-    for _ in range(rounds):
+    while True:
         new = frontier.join(step, "word").select("trie_id", F.col("neighbour").alias("word"))
         new = new.join(stems.select(F.col("word").alias("trie_id"), "stem"), "trie_id").where(F.col("word").startswith(F.col("stem"))).select("trie_id", "word")
-        new = new.distinct().join(found, ["trie_id", "word"], "left_anti").persist()
+        new = new.distinct().join(found, ["trie_id", "word"], "left_anti").localCheckpoint()  # plans would double in every round
         if new.isEmpty():
             break
         found, frontier = found.unionByName(new), new

@@ -117,3 +117,23 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([("Lise lise okul",)], "text string").write.parquet(str(tmp_path / "in"))
     got = count_directory(spark, str(tmp_path / "in"), "text string", "counts_of_test", str(tmp_path / "ck"))
     assert {(r.word, r.freq) for r in got.collect()} == {("lise", 2), ("okul", 1)}
+
+
+def test_sweep_and_closure_go_on_until_nothing_is_open(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from suffixloom.operators import sampler, trie
+
+    def last_letter(words, *_):
+        whole = F.length("word") == 1
+        return words.select("word", F.when(whole, F.col("word")).otherwise(F.expr("left(word, length(word) - 1)")).alias("stem"), F.when(whole, F.lit("$")).otherwise(F.expr("right(word, 1)")).alias("suffix"))
+
+    monkeypatch.setattr(sampler, "posterior", last_letter)
+    monkeypatch.setattr(sampler, "draw", lambda rows, *_: rows)
+    word = "abcdefghijklmnopqrstuvwxyz"
+    segments = spark.createDataFrame([(word, [word])], "word string, morphs array<string>")
+    assert sampler.gibbs_sweep(segments, "bi", "dp", True).first().morphs == list(word)
+    names = [f"a{i}" for i in range(24)]
+    knn = spark.createDataFrame(list(zip(names, names[1:])), "word string, neighbour string")
+    reached = trie.closure(spark.createDataFrame([("a0",)], "word string"), knn, spark.createDataFrame([("a0", "a")], "word string, stem string"))
+    assert {r.word for r in reached.collect()} == set(names)
