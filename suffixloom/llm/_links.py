@@ -1,14 +1,17 @@
 """Candidate pairs from buckets, and connected components, as DataFrame operations only.
 
-Buckets are rows (bucket, id, n): ``id`` names a class of equal items, ``n`` is the size of its set.  Pairs within a
-bucket are never all made.  First every bucket is cut into parts of about ``PART`` items; each item is paired with the
-smallest of its part, and the smallest ones with each other in a chain.  Verified pairs make components.  Then, in
-buckets that still hold more than one component, items are paired with the next one in an order of the bucket's own,
-where their components differ.  At last the items of buckets that still hold more than one component are joined by a
-prefix filter on their sets: elements are ordered by how rare a count sketch takes them for, and two sets of the wanted similarity share one
-of their first elements, at places from which they can still reach the overlap.  Of those pairs only the ones between
-components are made: others can't change a component.  So no link between components is lost, and sets that differ in
-many elements of their own make no pairs, however large their group is.
+Buckets are rows (bucket, id, n, orders): ``id`` names a class of equal items, ``n`` is the size of its set and
+``orders`` an array of other sketches of it.  Pairs within a bucket are never all made; a bucket makes a bounded number of
+them for each of its items:
+
+1. Stars.  Every bucket is cut into parts of about ``PART`` items; each item is paired with the smallest of its part, and
+   the smallest ones with each other in a chain.  Verified pairs make components.
+2. Few.  Where at most ``FEW`` items of a bucket lie outside its largest component, all pairs of different components
+   are tried.
+3. Neighbours.  In the other buckets items lie in the orders of their other sketches, so that what shares two sketches
+   lies side by side, and each is paired with the ``NEAR`` items before it that are of other components.
+
+A link is missed if its items share no band, or if all steps miss it in every band that they share.
 """
 
 from __future__ import annotations
@@ -23,22 +26,26 @@ from ._common import Scratch
 
 PART = 512
 JUMPS = 3
-SLOTS = 1 << 17  # of each of two rows of counts
+FEW = 32
+NEAR = 10
+
+Could = Callable[[Column, Column], Column]
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _parts(buckets: DataFrame) -> DataFrame:
+def parted(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets of two items and more, with their number.  A merge join lets skewed buckets be split."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("items")).where("items > 1")
-    rows = buckets.join(many, "bucket")
-    return rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("items") / PART)))
+    return buckets.join(many.hint("merge"), "bucket")
 
 
-def star_pairs(buckets: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
+def star_pairs(rows: DataFrame, could: Could) -> DataFrame:
     """Pairs (a, b), a < b, of each item and the smallest of its part, and of the smallest ones of neighbouring parts."""
-    rows = _parts(buckets).withColumn("me", F.struct("id", "n"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("items") / PART)))
+    rows = rows.withColumn("me", F.struct("id", "n"))
     rows = rows.withColumn("lead", F.first("me").over(W.partitionBy("bucket", "part").orderBy("id")))
     leads = rows.where("items > %d AND lead.id = id" % PART)
     next_lead = W.partitionBy("bucket").orderBy("part")  # one row for each PART items
@@ -48,66 +55,42 @@ def star_pairs(buckets: DataFrame, could: Callable[[Column, Column], Column]) ->
     return pairs.select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
 
 
-def chain_pairs(buckets: DataFrame, labels: DataFrame, could: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs of neighbours, in an order of the bucket's own, that lie in different components."""
-    rows = _parts(buckets).join(labels, "id", "left").withColumn("me", F.struct("id", "n", F.coalesce("label", "id").alias("label")))
-    chain = W.partitionBy("bucket", "part").orderBy(F.xxhash64("bucket", "id"), "id")
-    pairs = rows.select(F.lag("me").over(chain).alias("p"), F.col("me").alias("q")).where("p.label != q.label")
-    return pairs.where(could(F.col("p.n"), F.col("q.n"))).select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
+def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows, with their label, of the buckets that hold more than one component.  Of two items the one pair is tried.
+
+    ``main`` is the component with most items of the bucket and ``others`` the number of items that aren't of it.
+    """
+    rows = rows.where("items > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    keys = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("s")).where("s > m.k")
+    keys = keys.select("bucket", F.col("m.label").alias("main"), (F.col("s") - F.col("m.k")).alias("others"))
+    return rows.join(keys.hint("merge"), "bucket")
+
 
+def _open_pairs(pairs: DataFrame, could: Could) -> DataFrame:
+    return pairs.where("p.label != q.label").where(could(F.col("p.n"), F.col("q.n"))).select(*_ordered(F.col("p.id"), F.col("q.id")))
 
-def mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The buckets that hold more than one component.  Of two items the one pair is tried, so such buckets are done."""
-    rows = buckets.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    keys = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("items")).where("lo != hi AND items > 2").select("bucket")
-    return rows.join(keys, "bucket", "left_semi").drop("label")
 
+def few_pairs(rows: DataFrame, could: Could) -> DataFrame:
+    """All open pairs of buckets in which at most ``FEW`` items lie outside the main component: FEW for an item."""
+    rows = rows.where(F.col("others") <= FEW).withColumn("me", F.struct("id", "n", "label"))
+    outside = rows.where("label != main").select("bucket", F.col("me").alias("p"))
+    every = rows.select("bucket", F.col("me").alias("q"), (F.col("label") == F.col("main")).alias("in_main"))
+    return _open_pairs(outside.join(every.hint("merge"), "bucket").where("in_main OR p.id < q.id"), could)
 
-def _rarity(elements: DataFrame) -> bytes:
-    """For each slot of an element a byte that grows with how often it occurs in ``elements``, 0 if that is once.
 
-    They are 2 * SLOTS bytes for any input.  Elements that share a slot seem more frequent, which changes the order
-    of elements and never a result.
+def near_pairs(rows: DataFrame, could: Could) -> DataFrame:
+    """Pairs of items of different components that lie side by side in an order of their other sketches.
+
+    Parts of a large bucket hold items of equal sketch together, up to PART * PART of them.
     """
-    slots = elements.select(F.explode(F.array(*_slots(F.col("e")))).alias("slot")).groupBy("slot").agg(F.count("*").alias("k"))
-    zeros = elements.sparkSession.range(2 * SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("k"))
-    counts = slots.unionByName(zeros).groupBy("slot").agg(F.sum("k").alias("k"))
-    level = F.least(F.lit(255), F.floor(8 * F.log2(F.greatest("k", F.lit(1)))))
-    byte = counts.select("slot", F.lpad(F.hex(level.cast("long")), 2, "0").alias("x"))
-    row = byte.agg(F.sort_array(F.collect_list(F.struct("slot", "x"))).alias("t")).select(F.unhex(F.array_join(F.transform("t", lambda x: x["x"]), ""))).first()
-    return bytes(row[0])
-
-
-def _ordered_items(items: Column, rarity: bytes) -> Column:
-    """Structs (df, e), rare elements first.  The bytes are bound once, so that plans hold them once."""
-    df = lambda t, e: F.least(*(F.substring(t, slot.cast("int") + 1, F.lit(1)) for slot in _slots(e)))
-    return F.transform(F.array(F.lit(rarity)), lambda t: F.sort_array(F.transform(items, lambda e: F.struct(df(t, e).alias("df"), e.alias("e")))))[0]
-
-
-def _slots(e: Column) -> list[Column]:
-    return [e.bitwiseAND(SLOTS - 1), F.shiftrightunsigned(e, 24).bitwiseAND(SLOTS - 1) + SLOTS]
-
-
-def rest_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, items: Column, tried: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
-    """All pairs of the buckets' items that may be similar and lie in different components, but those already tried."""
-    ids = buckets.select("id").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sets = scratch.table(sets.join(ids, "id"))  # what the sets are made of: they can be several times as large
-    rarity = _rarity(sets.select(F.explode(items).alias("e")))
-    ranked = sets.select("id", "label", _ordered_items(items, rarity).alias("order"))
-    ranked = ranked.withColumn("n", F.size("order").cast("long"))
-    # the element at pos is the first shared one at best, so n - pos is the largest overlap
-    most = F.floor(F.col("n") * (100 - similarity) / 100).cast("int") + 1
-    first = ranked.select("id", "label", "n", F.posexplode(F.slice("order", F.lit(1), most)).alias("pos", "x"))
-    first = scratch.table(first.where("x.df != X'00'").where((F.col("n") - F.col("pos")) * 100 >= F.col("n") * similarity).select("id", "label", "n", "pos", F.col("x.e").alias("e")))
-    sizes = first.groupBy("e", "label").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("e").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("e", F.col("m.label").alias("main"))
-    rows = scratch.table(first.join(largest, "e").withColumn("me", F.struct("id", "n", "label", "pos")).select("e", "label", "main", "me"))
-    outside = rows.where("label != main").select("e", F.col("me").alias("p"))
-    every = rows.select("e", F.col("me").alias("q"), (F.col("label") == F.col("main")).alias("in_main"))
-    left = F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos"))
-    reach = left * (100 + similarity) >= (F.col("p.n") + F.col("q.n")) * similarity
-    pairs = outside.join(every, "e").where("p.label != q.label AND (in_main OR p.id < q.id)").where(reach)
-    return pairs.select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct().join(tried, ["a", "b"], "left_anti")
+    rows = rows.where(F.col("others") > FEW).withColumn("me", F.struct("id", "n", "label"))
+    rows = rows.select("bucket", "me", "items", F.posexplode("orders").alias("turn", "order"))
+    spread = F.pmod(F.xxhash64("me.id"), F.ceil(F.col("items") / (PART * PART)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("order", spread), F.ceil(F.col("items") / PART)))
+    chain = W.partitionBy("bucket", "turn", "part").orderBy("order", "me.id")
+    before = F.array(*(F.lag("me", k).over(chain) for k in range(1, NEAR + 1)))
+    return _open_pairs(rows.select(before.alias("ps"), F.col("me").alias("q")).select(F.explode("ps").alias("p"), "q"), could)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -152,25 +135,16 @@ def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(old.unionByName(up.join(labels, "id", "left_anti")))
 
 
-def link_all(buckets: DataFrame, sets: DataFrame, items: Column, verify: Callable[[DataFrame], DataFrame], could: Callable[[Column, Column], Column], similarity: int, scratch: Scratch) -> DataFrame:
-    """Labels (id, label) of the components that verified pairs of the buckets make.
-
-    ``sets`` has the id and what ``items``, the distinct 64-bit elements, is made of; ``verify`` keeps the pairs (a, b)
-    of ``similarity`` per cent or more.
-    """
-    tried = scratch.table(star_pairs(buckets, could))
+def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Could, scratch: Scratch) -> DataFrame:
+    """Labels (id, label) of the components that verified pairs of the buckets make; ``verify`` keeps similar pairs (a, b)."""
+    rows = scratch.table(parted(buckets))
+    tried = scratch.table(star_pairs(rows, could))
     labels = components(scratch.table(verify(tried)), scratch)
-    for last in (False, True):
-        buckets = scratch.table(mixed(buckets, labels))
-        if buckets.isEmpty():
-            return labels
-        if last:
-            pairs = rest_pairs(buckets, labels, sets, items, tried, similarity, scratch)
-        else:
-            pairs = chain_pairs(buckets, labels, could).join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs)
-        found = scratch.table(verify(pairs))
-        tried = tried.unionByName(pairs)
-        if not found.isEmpty():
-            labels = merged(labels, found, scratch)
-    return labels
+    open_rows = scratch.table(mixed(rows, labels))
+    scratch.drop(rows)
+    if open_rows.isEmpty():
+        return labels
+    pairs = few_pairs(open_rows, could).unionByName(near_pairs(open_rows, could)).distinct()
+    found = scratch.table(verify(pairs.join(tried, ["a", "b"], "left_anti")))
+    scratch.drop(open_rows, tried)
+    return labels if found.isEmpty() else merged(labels, found, scratch)
