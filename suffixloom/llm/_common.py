@@ -65,41 +65,37 @@ def ascii_lower(text: Column) -> Column:
 
 
 def _slot(key: Column, bits: int) -> Column:
-    # 1-based: bitmap_bit_position counts positive positions from 1
-    return F.xxhash64(key).bitwiseAND((1 << bits) - 1) + 1
+    return F.xxhash64(key).bitwiseAND((1 << bits) - 1)
 
 
 def bitmap_of(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows (filter_bucket, filter_bits): a Bloom filter with one hash and at most 2**bits bits."""
+    """One row with an array of 2**bits bits: a Bloom filter with one hash."""
     slot = _slot(F.col(key), bits)
-    return (
-        keys.select(F.bitmap_bucket_number(slot).alias("filter_bucket"), F.bitmap_bit_position(slot).alias("filter_pos"))
-        .groupBy("filter_bucket")
-        .agg(F.bitmap_construct_agg("filter_pos").alias("filter_bits"))
-    )
+    words = keys.select(F.shiftrightunsigned(slot, 6).alias("w"), _one(slot).alias("b"))
+    zeros = keys.sparkSession.range(1 << max(bits - 6, 0)).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or("b").alias("b")).unionByName(zeros).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("filter_words"))
 
 
-def _bit(slot: Column) -> Column:
-    pos = F.bitmap_bit_position(slot)
-    byte = F.conv(F.hex(F.substring(F.col("filter_bits"), (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.getbit(byte, (pos % 8).cast("int")) == 1
+def _one(slot: Column) -> Column:
+    """The slot's bit in its word of 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
 
 
-def _with_bits(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, how: str) -> tuple[DataFrame, Column]:
+def _bit(key: str, bitmap: DataFrame, bits: int) -> Column:
     slot = _slot(F.col(key), bits)
-    return rows.withColumn("filter_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bitmap), "filter_bucket", how), _bit(slot)
+    word = F.get(bitmap.scalar(), F.shiftrightunsigned(slot, 6).cast("int"))
+    return word.bitwiseAND(_one(slot)) != 0
 
 
 def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows whose key may be in the bitmap; no row whose key is in it is lost."""
-    found, bit = _with_bits(rows, key, bitmap, bits, "inner")
-    return found.where(bit).drop("filter_bucket", "filter_bits")
+    return rows.where(_bit(key, bitmap, bits))
 
 
 def surely_out(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The other rows: their key isn't in the bitmap."""
-    found, bit = _with_bits(rows, key, bitmap, bits, "left")
-    return found.where(F.col("filter_bits").isNull() | ~bit).drop("filter_bucket", "filter_bits")
+    """The other rows: their key isn't in the bitmap, or is null."""
+    return rows.where(~F.coalesce(_bit(key, bitmap, bits), F.lit(False)))
 
 
 def without(rows: DataFrame, key: str, gone: DataFrame, bits: int = FILTER_BITS) -> DataFrame:

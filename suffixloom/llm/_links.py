@@ -6,12 +6,11 @@ them for each of its items:
 
 1. Stars.  Every bucket is cut into parts of about ``PART`` items; each item is paired with the smallest of its part, and
    the smallest ones with each other in a chain.  Verified pairs make components.
-2. Few.  Where at most ``FEW`` items of a bucket lie outside its largest component, all pairs of different components
-   are tried.
-3. Neighbours.  In the other buckets items lie in the orders of their other sketches, so that what shares two sketches
-   lies side by side, and each is paired with the ``NEAR`` items before it that are of other components.
+2. Neighbours.  In buckets that still hold more than one component, items that share another sketch too make smaller
+   groups, and each item is paired with the ``NEAR`` before it in its group that are of other components.  Buckets of up
+   to ``SMALL`` items are one group, so all their open pairs are tried.
 
-A link is missed if its items share no band, or if all steps miss it in every band that they share.
+A link is missed if its items share no band, or if both steps miss it in every band that they share.
 """
 
 from __future__ import annotations
@@ -26,8 +25,7 @@ from ._common import Scratch
 
 PART = 512
 JUMPS = 3
-FEW = 32
-NEAR = 10
+SMALL, NEAR = 9, 16
 
 Could = Callable[[Column, Column], Column]
 
@@ -56,41 +54,28 @@ def star_pairs(rows: DataFrame, could: Could) -> DataFrame:
 
 
 def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows, with their label, of the buckets that hold more than one component.  Of two items the one pair is tried.
-
-    ``main`` is the component with most items of the bucket and ``others`` the number of items that aren't of it.
-    """
+    """Rows, with their label, of the buckets that hold more than one component.  Of two items the one pair is tried."""
     rows = rows.where("items > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    keys = sizes.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("m"), F.sum("k").alias("s")).where("s > m.k")
-    keys = keys.select("bucket", F.col("m.label").alias("main"), (F.col("s") - F.col("m.k")).alias("others"))
-    return rows.join(keys.hint("merge"), "bucket")
-
-
-def _open_pairs(pairs: DataFrame, could: Could) -> DataFrame:
-    return pairs.where("p.label != q.label").where(could(F.col("p.n"), F.col("q.n"))).select(*_ordered(F.col("p.id"), F.col("q.id")))
-
-
-def few_pairs(rows: DataFrame, could: Could) -> DataFrame:
-    """All open pairs of buckets in which at most ``FEW`` items lie outside the main component: FEW for an item."""
-    rows = rows.where(F.col("others") <= FEW).withColumn("me", F.struct("id", "n", "label"))
-    outside = rows.where("label != main").select("bucket", F.col("me").alias("p"))
-    every = rows.select("bucket", F.col("me").alias("q"), (F.col("label") == F.col("main")).alias("in_main"))
-    return _open_pairs(outside.join(every.hint("merge"), "bucket").where("in_main OR p.id < q.id"), could)
+    keys = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    return rows.join(keys.hint("merge"), "bucket", "left_semi")
 
 
 def near_pairs(rows: DataFrame, could: Could) -> DataFrame:
-    """Pairs of items of different components that lie side by side in an order of their other sketches.
+    """Pairs of items of different components that lie side by side among those that share another sketch too.
 
-    Parts of a large bucket hold items of equal sketch together, up to PART * PART of them.
+    A bucket of up to ``SMALL`` items isn't parted by its other sketches; a part holds up to PART * PART items.
     """
-    rows = rows.where(F.col("others") > FEW).withColumn("me", F.struct("id", "n", "label"))
-    rows = rows.select("bucket", "me", "items", F.posexplode("orders").alias("turn", "order"))
-    spread = F.pmod(F.xxhash64("me.id"), F.ceil(F.col("items") / (PART * PART)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("order", spread), F.ceil(F.col("items") / PART)))
-    chain = W.partitionBy("bucket", "turn", "part").orderBy("order", "me.id")
+    rows = rows.withColumn("me", F.struct("id", "n", "label"))
+    whole = F.array(F.lit(0).cast("long"))
+    rows = rows.select("bucket", "me", "items", F.posexplode(F.when(F.col("items") <= SMALL, whole).otherwise(F.col("orders"))).alias("turn", "order"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("me.id"), F.ceil(F.col("items") / (PART * PART))))
+    chain = W.partitionBy("bucket", "turn", "order", "part").orderBy("me.id")
     before = F.array(*(F.lag("me", k).over(chain) for k in range(1, NEAR + 1)))
-    return _open_pairs(rows.select(before.alias("ps"), F.col("me").alias("q")).select(F.explode("ps").alias("p"), "q"), could)
+    rows = rows.select(before.alias("ps"), F.col("me").alias("q"))
+    q = F.col("q")
+    open_ = F.filter("ps", lambda p: p.isNotNull() & (p["label"] != q["label"]) & could(p["n"], q["n"]))
+    pairs = rows.select(F.explode(open_).alias("p"), "q")
+    return pairs.select(*_ordered(F.col("p.id"), F.col("q.id")))
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -144,7 +129,6 @@ def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could
     scratch.drop(rows)
     if open_rows.isEmpty():
         return labels
-    pairs = few_pairs(open_rows, could).unionByName(near_pairs(open_rows, could)).distinct()
-    found = scratch.table(verify(pairs.join(tried, ["a", "b"], "left_anti")))
+    found = scratch.table(verify(near_pairs(open_rows, could).distinct().join(tried, ["a", "b"], "left_anti")))
     scratch.drop(open_rows, tried)
     return labels if found.isEmpty() else merged(labels, found, scratch)
