@@ -6,12 +6,8 @@ import html
 import math
 import re
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.DOTALL,
-)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STEP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,92 +16,145 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 #: Elements that are never part of an article.
 BOILERPLATE = set("nav header footer aside form script style noscript iframe template button select input textarea svg canvas object embed video audio menu dialog head title meta link".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words of class and id names that mark what isn't article text.
+#: Words of class and id names that speak against article text.
 MARKS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations trending comment comments commentlist disqus replies reply respond pagination pager widget toolbar skip hidden".split()
 )
+#: First words of names that say what an element is beside, is part of or how it looks; only FOREIGN words after them count.
+STATES = set("has no not with without is overflow visually".split())
+OWNERS = set("post article entry story main content page body".split())
+FOREIGN = set("ad ads advert adverts sidebar comment comments replies share sharing social related newsletter nav navigation menu pagination".split())
+#: What a mark leaves of an element's density.
+PRIOR = 0.25
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: What an open element ends when it begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "main", "marked")
+    __slots__ = ("tag", "parent", "kids", "drop", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "weight")
 
-    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, main: bool = False, marked: bool = False):
-        self.tag, self.parent, self.kids, self.drop, self.main, self.marked = tag, parent, [], drop, main, marked
+    def __init__(self, tag: str, parent: "Node | None", drop: bool = False, marked: bool = False):
+        self.tag, self.parent, self.kids, self.drop, self.marked = tag, parent, [], drop, marked
         self.density = self.total = 0.0
+        self.weight = 1.0
+
+
+def _name_marks(name: str) -> bool:
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    if not parts or parts[0] in STATES:
+        return False
+    return bool(set(parts[1:]) & FOREIGN) if parts[0] in OWNERS else bool(set(parts) & MARKS)
 
 
-def _marked(tag: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Whether the element is boilerplate by its name, role or style, whether it says it is the main part, and whether
-    its class or id has one of the words of boilerplate."""
-    drop, main, marked = tag in BOILERPLATE, tag in ("article", "main"), False
+def _judge(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the element is boilerplate by its name, role or style, and whether its class or id speaks against it."""
+    drop, marked = tag in BOILERPLATE, False
     if attrs.strip(" /"):
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", value))
-                marked = marked or bool(words & MARKS)
+                marked = marked or any(map(_name_marks, value.split()))
             elif name == "role":
-                drop, main = drop or value in ROLES, main or value in ("main", "article")
+                drop = drop or value in ROLES
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 drop = True
-    return drop, main, marked
+    return drop, marked and tag not in ("html", "body")
+
+
+def _tag_end(text: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag that is open at ``at`` ends, -1 if it doesn't.  A quote that is never closed is no quote."""
+    while m := _STEP.search(text, at):
+        if m[1] is None:
+            return m.start()
+        at = text.index(m[1], m.end()) + 1 if m.end() <= last[m[1]] else m.end()
+    return -1
 
 
 def parse(text: str) -> Node:
-    """The tree of a page.  Text is a string among the children; unclosed and stray tags are forgiven."""
+    """The tree of a page.  Text is a string among the children; unclosed and stray tags are forgiven.
+
+    Time grows with the length of the text, also for stray quotes and tags.
+    """
     root = node = Node("#root", None)
-    at = 0
-    while True:
-        m = _TOKEN.search(text, at)
+    last = {q: text.rfind(q) for q in "\"'"}
+    opened: dict[str, int] = {}  # open elements of each name
+    at = done = 0  # text before ``done`` is in the tree
+
+    def leave(to: Node) -> Node:
+        """Closes the open elements down to and including ``to``."""
+        nonlocal node
+        while True:
+            opened[node.tag] -= 1
+            shut, node = node, node.parent
+            if shut is to:
+                return node
+
+    while (lt := text.find("<", at)) >= 0:
+        m = _TAG.match(text, lt)
         if m is None:
-            if at < len(text):
-                node.kids.append(text[at:])
-            return root
-        if m.start() > at:
-            node.kids.append(text[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
+            if text.startswith("<!--", lt):
+                end = text.find("-->", lt + 4)
+                stop = len(text) if end < 0 else end + 3
+            elif text[lt + 1 : lt + 2] in ("!", "?", "/"):
+                end = text.find(">", lt)
+                stop = len(text) if end < 0 else end + 1
+            else:
+                at = lt + 1  # a character of the text
+                continue
+            if lt > done:
+                node.kids.append(text[done:lt])
+            at = done = stop
             continue
-        name = name.lower()
-        if m["end"]:
-            up = node
-            while up is not None and up.tag != name:
-                # an inline element's end tag doesn't close the block around it
-                up = None if name in INLINE and up.tag not in INLINE else up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+        gt = _tag_end(text, m.end(), last)
+        if gt < 0:
+            break
+        if lt > done:
+            node.kids.append(text[done:lt])
+        at = done = gt + 1
+        name, attrs = m[1].lower(), text[m.end() : gt]
+        if text[lt + 1] == "/":
+            if opened.get(name):
+                up = node
+                while up is not None and up.tag != name:
+                    # an inline element's end tag doesn't close the block around it
+                    up = None if name in INLINE and up.tag not in INLINE else up.parent
+                if up is not None:
+                    leave(up)
             continue
         if name not in INLINE:
             # a block ends an open paragraph and, for list items and cells, the one before it
-            up = node
+            up, last_p = node, None
             while up.parent is not None and (up.tag in INLINE or up.tag == "p"):
-                if up.tag == "p":
-                    node = up.parent
+                last_p = up if up.tag == "p" else last_p
                 up = up.parent
-            if name in _ENDS:
-                up, last = node, None
+            if last_p is not None:
+                leave(last_p)
+            if name in _ENDS and any(opened.get(t) for t in _ENDS[name]):
+                up, ended = node, None
                 while up.parent is not None and up.tag not in _SCOPE[name]:
                     if up.tag in _ENDS[name]:
-                        last = up
+                        ended = up
                     up = up.parent
-                if last is not None:
-                    node = last.parent
-        new = Node(name, node, *_marked(name, m["attrs"]))
+                if ended is not None:
+                    leave(ended)
+        new = Node(name, node, *_judge(name, attrs))
         node.kids.append(new)
-        if name in VOID or m["attrs"].rstrip().endswith("/"):
+        if name in VOID or attrs.rstrip().endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(text, at)
             new.kids.append(text[at : end.start() if end else len(text)])
-            at = end.end() if end else len(text)
+            at = done = end.end() if end else len(text)
             continue
+        opened[name] = opened.get(name, 0) + 1
         node = new
+    if done < len(text):
+        node.kids.append(text[done:])
+    return root
 
 
 def _post_order(root: Node) -> list[Node]:
@@ -119,24 +168,20 @@ def _post_order(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def drop_marked(root: Node) -> None:
-    """Drop marked elements, but not those named after what they sit beside.
+def weigh(nodes: list[Node], body: Node) -> None:
+    """Marks are a weak prior: they take most of an element's density.
 
-    These hold the largest article or main part, or most of the text of the part they are in: of the page, where it
-    has no such part.
+    They don't where an element wraps most of the page's text, and its articles if the page has any.
     """
-    nodes = _post_order(root)
+    mains: dict[int, int] = {}  # articles and main parts below an element
     for n in nodes:
-        n.chars = sum(len("".join(k.split())) if isinstance(k, str) else 0 if k.drop else k.chars for k in n.kids)
-    mains = [n for n in nodes if n.main and not n.marked and n.chars]
-    largest = max(mains, key=lambda n: n.chars, default=None)
-    for n in nodes:
-        if n.marked and n.tag not in ("body", "html", "article", "main"):
-            part = n.parent
-            while part is not None and part.parent is not None and not part.main:
-                part = part.parent
-            most = n.chars * 2 > part.chars and (part.main or largest is None)
-            n.drop = not (most or largest is not None and _holds(n, largest))
+        mains[id(n)] = sum(mains.get(id(k), 0) for k in n.kids if isinstance(k, Node)) + (n.tag in ("article", "main") and n.chars > 0 and not n.marked)
+    for n in reversed(nodes):  # parents first
+        n.weight = n.parent.weight if n.parent is not None else 1.0
+        if n.marked:
+            inner = sum(k.chars for k in n.kids if isinstance(k, Node) and not k.drop)
+            wraps = n.chars * 2 > body.chars and inner * 2 > n.chars and (mains[id(n)] or not mains[id(body)])
+            n.weight = n.weight if wraps else min(n.weight, PRIOR)
 
 
 def measure(root: Node) -> list[Node]:
@@ -163,20 +208,29 @@ def measure(root: Node) -> list[Node]:
             base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
             value = n.chars / max(n.link_chars, 1) * max(n.tags, 1) / max(n.link_tags, 1)
             n.density = per_tag * math.log(max(value, 1.0)) / max(math.log(max(base, 1.0 + 1e-9)), 1.0)
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.drop)
+    body = next((n for n in nodes if n.tag == "body"), whole)
+    weigh(nodes, body)
+    for n in nodes:
+        n.total = n.weight * sum(k.density * k.weight for k in n.kids if isinstance(k, Node) and not k.drop)
     return nodes
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The subtrees of largest density sum whose density reaches the least on the path from the densest node to the body."""
-    drop_marked(root)
+    """The subtree of largest density sum, and the blocks whose density reaches the least on its path to the body.
+
+    Elements that their names speak against are left out of them where what the prior leaves of their density is below
+    that threshold.
+    """
     nodes = measure(root)
     if not nodes or not nodes[-1].chars:
         return []
     body = next((n for n in nodes if n.tag == "body"), nodes[-1])
-    best = max(nodes, key=lambda n: n.total) if any(n.total for n in nodes) else nodes[-1]
+    best = max(nodes, key=lambda n: n.total)
     if not best.total:
         best = body
+    # the best subtree is a block
+    while best.parent is not None and best is not body and best.tag in INLINE | HEADINGS | {"p", "li", "td", "blockquote"}:
+        best = best.parent
     threshold, up = math.inf, best
     while up is not None:
         if up.chars:
@@ -184,36 +238,34 @@ def main_nodes(root: Node) -> list[Node]:
         if up is body:
             break
         up = up.parent
+    for n in nodes:
+        if n.weight < 1 and n.density * n.weight < threshold:
+            n.drop = True
+    holding = set()
     up = best
-    while up is not None and not up.main:
+    while up is not None:
+        holding.add(id(up))
         up = up.parent
-    if up is not None:
-        return [up]
-    # a text node beside element children, or blocks like those of the best, belong to it: raise while the parent's text is mostly its own
-    while best.parent is not None and best is not body and best.tag in INLINE | {"p", "li", "td", "blockquote", "h1", "h2", "h3"}:
-        best = best.parent
-    picked, todo = [], [body]
+    picked, todo, title = [], [body], []
     while todo:
         n = todo.pop()
-        if n is best:
-            picked.append(n)
-        elif n.drop or not n.chars:
+        if n.drop or not n.chars:
             continue
-        elif n is not body and n.density >= threshold and not _holds(n, best) and n.link_chars * 2 < n.chars and n.tag not in INLINE:
-            picked.append(n)
+        if n is best:
+            picked += [*title, n]
+            title = []
+        elif n.tag in HEADINGS:
+            title.append(n)  # a heading belongs to what follows it
+        elif id(n) not in holding and n.density >= threshold and n.link_chars * 2 < n.chars and n.tag not in INLINE:
+            picked += [*title, n]
+            title = []
         else:
+            if id(n) not in holding:
+                title = []
             todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
     return picked or [best]
 
 
-def _holds(node: Node, inner: Node) -> bool:
-    while inner is not None:
-        if inner is node:
-            return True
-        inner = inner.parent
-    return False
-
-
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks below a node, in page order, white space turned into single spaces."""
     out: list[str] = []
