@@ -93,6 +93,14 @@ def maybe_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BI
     return rows.where(_bit(key, bitmap, bits))
 
 
+def maybe_in_any(rows: DataFrame, key: str, bitmaps: list[DataFrame], bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose key may be in one of the bitmaps."""
+    hit = F.lit(False)
+    for bitmap in bitmaps:
+        hit = hit | F.coalesce(_bit(key, bitmap, bits), F.lit(False))
+    return rows.where(hit)
+
+
 def surely_out(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """The other rows: their key isn't in the bitmap, or is null."""
     return rows.where(~F.coalesce(_bit(key, bitmap, bits), F.lit(False)))
@@ -103,3 +111,13 @@ def without(rows: DataFrame, key: str, gone: DataFrame, bits: int = FILTER_BITS)
     bitmap = bitmap_of(gone, key, bits)
     some = maybe_in(rows, key, bitmap, bits).join(gone.select(key).distinct().hint("merge"), key, "left_anti")
     return surely_out(rows, key, bitmap, bits).select(rows.columns).unionByName(some.select(rows.columns))
+
+
+def sample_texts(docs: DataFrame, text_col: str, rows: int, chars: int) -> DataFrame:
+    """Distinct texts of at most ``chars`` characters, about ``rows`` of them at most, chosen by a hash of the text.
+
+    Copies are taken or left together, and the partitioning of the input doesn't matter.
+    """
+    total, share = docs.count(), 1 << 30
+    texts = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    return texts.where(F.pmod(F.xxhash64("text"), F.lit(share)) < min(share, -(-share * rows // max(total, 1)))).distinct()

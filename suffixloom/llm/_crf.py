@@ -9,6 +9,7 @@ import numpy as np
 
 WORD = re.compile(r"[^\W\d_]+")
 SPAN = 64  # words of a chain; longer texts are cut into spans
+MARGIN = 16  # words of the neighbouring spans that a span's chain runs over, so that labels flow across
 BUCKETS = 1 << 18
 
 
@@ -18,7 +19,7 @@ def words_of(text: str | None) -> list[str]:
 
 def features(word: str) -> list[int]:
     """Hashed lexicon, affix and n-gram features: of the whole word, of both ends, and of all three-byte runs."""
-    b = b"^" + word.encode("utf-8", "surrogatepass")[:60] + b"$"
+    b = b"^" + word.encode("utf-8", "surrogatepass") + b"$"
     crc, mask = zlib.crc32, BUCKETS - 1
     out = [crc(b, 1) & mask]
     for k in (2, 3, 4):
@@ -37,6 +38,16 @@ def spans(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(SPAN, first[text] + lengths[text] - start)
 
 
+def margins(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans with MARGIN words of their neighbours: start and length of each chain, its words before the span, the span's."""
+    start, size = spans(lengths)
+    ends = np.cumsum(lengths)
+    text = np.searchsorted(ends, start, side="right")
+    low = np.maximum(start - MARGIN, ends[text] - lengths[text])
+    high = np.minimum(start + size + MARGIN, ends[text])
+    return low, high - low, start - low, size
+
+
 def forward_backward(score: np.ndarray, start: np.ndarray, size: np.ndarray, trans: np.ndarray, init: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of every word, and the expected number of each transition.
 
@@ -47,7 +58,7 @@ def forward_backward(score: np.ndarray, start: np.ndarray, size: np.ndarray, tra
     n_labels = score.shape[1]
     out = np.zeros_like(score)
     expected = np.zeros((n_labels, n_labels))
-    if not len(start):
+    if not len(start) or not n_labels:
         return out, expected
     longest = int(size[0])
     going = np.searchsorted(-size, -np.arange(longest), side="left")  # rows with size > t
@@ -89,14 +100,14 @@ class Model:
 class Reader:
     """Labels texts; keeps the scores of the words it has met, a bounded number of them."""
 
-    def __init__(self, model: Model, limit: int = 600_000):
+    def __init__(self, model: Model, limit: int = 120_000):
         self.model, self.limit, self.rows = model, limit, {}
         self.table = np.zeros((1024, len(model.labels)))
 
     def _ids(self, words: list[str]) -> np.ndarray:
         new = list(set(words).difference(self.rows.keys())) if len(words) < len(self.rows) else [w for w in set(words) if w not in self.rows]
         if len(self.rows) + len(new) > self.limit and self.rows:
-            self.rows, new = {}, list(set(words))
+            self.rows, self.table, new = {}, np.zeros((1024, self.table.shape[1])), list(set(words))
         if len(self.rows) + len(new) > len(self.table):
             grown = np.zeros((2 * (len(self.rows) + len(new)), self.table.shape[1]))
             grown[: len(self.rows)] = self.table[: len(self.rows)]
@@ -110,17 +121,23 @@ class Reader:
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ids = self._ids([w for t in texts for w in t])  # may enlarge the table
-        score = self.table[ids]
-        start, size = spans(lengths)
-        return forward_backward(score, start, size, self.model.trans, self.model.init)[0], lengths
+        start, size, skip, core = margins(lengths)
+        # the chains, margins included, one after another
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(start - first, size)
+        found = forward_backward(self.table[ids[at]], first, size, self.model.trans, self.model.init)[0]
+        place = np.arange(int(core.sum())) + np.repeat(first + skip - (np.cumsum(core) - core), core)
+        return found[place], lengths
 
     def read(self, texts: list[list[str]]) -> list[tuple[str, float, int, int]]:
-        """(label, mean probability, words, label changes) of each text."""
+        """(label, mean probability, words, label changes) of each text; without a label all are ``und``."""
+        if not self.model.labels:
+            return [("und", 0.0, len(t), 0) for t in texts]
         m, lengths = self.marginals(texts)
         ends = np.cumsum(lengths)
         out = []
         for n, end in zip(lengths.tolist(), ends.tolist()):
-            if not n or not self.model.labels:
+            if not n:
                 out.append(("und", 0.0, n, 0))
                 continue
             own = m[end - n : end]
@@ -171,14 +188,16 @@ def train(texts: list[tuple[list[str], str]], rounds: int = 40, rate: float = 0.
     gold_trans = np.zeros((n, n))
     np.add.at(gold_trans, (gold[here - 1], gold[here]), 1)
     used = np.unique(flat)
-    seen = [np.full(weights.shape, 1e-8), np.full(trans.shape, 1e-8)]
+    gold_init = target[start].mean(axis=0)
+    seen = [np.full(x.shape, 1e-8) for x in (weights, trans, init)]
     for _ in range(rounds):
         emission = np.add.reduceat(weights[flat], at, axis=0)
         m, expected = forward_backward(emission[word], start, size, trans, init)
         diff = target - m
         by_word = np.stack([np.bincount(word, diff[:, j], len(feats)) for j in range(n)], axis=1)
         grad = np.stack([np.bincount(flat, by_word[owner, j], BUCKETS) for j in range(n)], axis=1) / len(word) - ridge * weights
-        for x, g, s in ((weights, grad, seen[0]), (trans, (gold_trans - expected) / len(word) - ridge * trans, seen[1])):
+        grad_init = gold_init - m[start].mean(axis=0) - ridge * init
+        for x, g, s in ((weights, grad, seen[0]), (trans, (gold_trans - expected) / len(word) - ridge * trans, seen[1]), (init, grad_init, seen[2])):
             s += g * g
             x += rate * g / np.sqrt(s)
     mask = np.zeros(BUCKETS, dtype=bool)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 
 ROUNDS = 10
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -12,8 +13,19 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 
+
+def alphabet(c: str) -> str | None:
+    """The characters that may stand for a letter or digit: other scripts permute within blocks of 64 of one category."""
+    if c not in _CLASS:
+        if not c.isalnum():
+            return None
+        low, kind = ord(c) & ~63, unicodedata.category(c)
+        same = "".join(x for x in map(chr, range(low, low + 64)) if unicodedata.category(x) == kind and x.isalnum())
+        _CLASS.update((x, same) for x in same)
+    return _CLASS[c]
+
 PATTERN = re.compile(
-    r"(?P<email>[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
@@ -142,16 +154,15 @@ class Pseudonyms:
         name, host = text.rsplit("@", 1)
         value, size = 0, 1
         for c in name:
-            if c in _CLASS:
-                a = _CLASS[c]
+            if a := alphabet(c):
                 value, size = value * len(a) + a.index(c), size * len(a)
         if size == 1:
             return None
         value, out = permute(value, size, self.key, "email"), []
         for c in reversed(name):
-            if c in _CLASS:
-                value, k = divmod(value, len(_CLASS[c]))
-                c = _CLASS[c][k]
+            if a := alphabet(c):
+                value, k = divmod(value, len(a))
+                c = a[k]
             out.append(c)
         return "".join(reversed(out)) + "@" + host
 

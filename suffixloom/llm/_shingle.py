@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 GAMMA = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 150_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,6 +29,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingles(text: str | None, width: int = 3) -> np.ndarray:
     """Sorted distinct 64-bit fingerprints of the word shingles.
 

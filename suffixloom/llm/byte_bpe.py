@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._arrow_text import batches
 from ._common import read_table
 
-CACHE = 200_000
+CACHE = 100_000
 LONG = 2_000
 _coders: dict[tuple[str, str], "Coder"] = {}
 
@@ -57,6 +57,9 @@ class Coder:
 
 
 def coder(ranks_path: str, pattern: str) -> Coder:
+    from ._worker import claim
+
+    claim("byte bpe", _coders.clear)
     if (ranks_path, pattern) not in _coders:
         _coders[ranks_path, pattern] = Coder(ranks_path, pattern)
     return _coders[ranks_path, pattern]

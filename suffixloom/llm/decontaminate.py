@@ -5,8 +5,9 @@ cover ``coverage`` of the item are tiled: the longest common run of words that n
 again, found by running Karp-Rabin hashes, so passages that were reordered or cut apart still count.  The pair is
 reported if the tiles cover that share of the item's words.  Words are lower-cased, and ASCII punctuation parts them.
 
-The benchmark is the stated query set.  It is read in blocks of at most ``BLOCK_CHARS`` characters, so what a worker
-holds is bounded whatever the benchmark's size; documents aren't shuffled.
+The benchmark is the stated query set.  It is read in blocks of about ``BLOCK_CHARS`` characters, whose index is arrays of 16
+bytes for each word beside the words themselves, so what a worker holds is bounded whatever the benchmark's size; documents
+aren't shuffled.  A seed is looked up once for a text, however often it occurs there.
 
 Defined cases: null and empty documents and items match nothing.  An item of fewer than five words must occur whole, as
 one run.  Repeated items and repeated documents give a row each.
@@ -45,16 +46,16 @@ class SeedIndex:
         self.items = [[self.vocab[w] for w in ws] for ws in words]
         rng = np.random.default_rng(7)
         self.mult = rng.integers(1, 2**63, size=least, dtype=np.uint64) | np.uint64(1)
-        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        self.keys: dict[int, object] = {}
-        for n, item in enumerate(self.items):
-            k = min(least, len(item))
-            if k:
-                at = self.postings.setdefault(k, {})
-                for p, h in enumerate(self.hashes(np.array(item, dtype=np.uint64), k).tolist()):
-                    at.setdefault(h, []).append((n, p))
-        for k, at in self.postings.items():
-            self.keys[k] = np.array(sorted(at), dtype=np.uint64)
+        # for each run length: the distinct keys, where the postings of each begin, and their items and places
+        self.runs: dict[int, tuple] = {}
+        for k in sorted({min(least, len(item)) for item in self.items if item}):
+            mine = [(n, self.hashes(np.array(item, dtype=np.uint64), k)) for n, item in enumerate(self.items) if min(least, len(item)) == k]
+            key = np.concatenate([h for _, h in mine])
+            item = np.concatenate([np.full(len(h), n, dtype=np.int32) for n, h in mine])
+            place = np.concatenate([np.arange(len(h), dtype=np.int32) for _, h in mine])
+            order = np.lexsort((place, item, key))
+            keys, first = np.unique(key[order], return_index=True)
+            self.runs[k] = (keys, np.append(first, len(order)), item[order], place[order])
 
     def hashes(self, ids, k: int):
         import numpy as np
@@ -70,16 +71,14 @@ class SeedIndex:
         """(item id, coverage, tiles, longest tile) of the items that the text covers."""
         import numpy as np
 
-        from ._tiling import tiles
-
         words = words_of(text)
         if not words or not self.vocab:
             return []
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-        seeds: dict[int, list[tuple[int, int]]] = {}
         zeros = np.concatenate(([0], np.cumsum(ids == 0)))
-        for k, keys in self.keys.items():
+        out = []
+        for k, (keys, first, owner, place) in self.runs.items():
             if len(ids) < k:
                 continue
             full = np.nonzero(zeros[k:] == zeros[: len(zeros) - k])[0]  # runs of known words only
@@ -89,34 +88,45 @@ class SeedIndex:
             slot = np.searchsorted(keys, h)
             slot[slot == len(keys)] = 0
             hit = keys[slot] == h
-            for t, key in zip(full[hit].tolist(), h[hit].tolist()):
-                for n, p in self.postings[k][key]:
-                    seeds.setdefault(n, []).append((p, t))
-        out = []
-        for n, pairs in seeds.items():
-            item = self.items[n]
-            k = min(self.least, len(item))
-            could = np.zeros(len(item), dtype=bool)
-            for p in {p for p, _ in pairs}:
-                could[p : p + k] = True
-            if could.sum() < self.coverage * len(item):
-                continue
-            near = np.zeros(len(ids), dtype=bool)
-            for t in {t for _, t in pairs}:
-                near[t : t + k] = True
-            # what no seed touches can't be in a tile; a gap of it becomes one element that nothing equals
-            part: list[int] = []
-            for a in np.nonzero(near)[0].tolist():
-                if part and a != last + 1:
-                    part.append(-1)
-                part.append(int(ids[a]))
-                last = a
-            found = tiles(item, part, k)
-            share = sum(f[2] for f in found) / len(item)
-            if share >= self.coverage:
-                out.append((self.ids[n], share, len(found), max(f[2] for f in found)))
+            at, slot = full[hit], slot[hit]
+            # a seed is looked up once for the text, however often it occurs there
+            found = np.unique(slot)
+            sizes = first[found + 1] - first[found]
+            post = np.repeat(first[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+            key_of = np.repeat(found, sizes)
+            order = np.argsort(owner[post], kind="stable")
+            post, key_of = post[order], key_of[order]
+            names, starts = np.unique(owner[post], return_index=True)
+            for n, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(post)]):
+                hits = self._tiled(n, k, ids, place[post[a:b]], at[np.isin(slot, key_of[a:b])])
+                if hits is not None:
+                    out.append((self.ids[n], *hits))
         return out
 
+    def _tiled(self, n: int, k: int, ids, places, at) -> tuple[float, int, int] | None:
+        """Coverage, tiles and longest tile of item n, whose seeds of k words are at ``places``, by a text that has them at ``at``."""
+        import numpy as np
+
+        from ._tiling import tiles
+
+        item = self.items[n]
+        could = np.zeros(len(item) + 1, dtype=np.int64)
+        np.add.at(could, places, 1)
+        np.add.at(could, places + k, -1)
+        if (np.cumsum(could)[:-1] > 0).sum() < self.coverage * len(item):
+            return None
+        near = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.add.at(near, at, 1)
+        np.add.at(near, at + k, -1)
+        # what no seed touches can't be in a tile; a gap of it becomes one element that nothing equals
+        where = np.nonzero(np.cumsum(near)[:-1] > 0)[0]
+        part: list[int] = []
+        for run in np.split(where, np.nonzero(np.diff(where) > 1)[0] + 1):
+            part += [-1] * bool(part) + ids[run].tolist()
+        found = tiles(item, part, k)
+        share = sum(f[2] for f in found) / len(item)
+        return (share, len(found), max(f[2] for f in found)) if share >= self.coverage else None
+
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
     """The items, a bounded block at a time."""

@@ -1,7 +1,9 @@
 """Operator 1: exact dedup by a log-structured merge index of text digests.
 
-Every input task is a memtable: it flushes its digests, sorted, as one run file that carries a Parquet Bloom filter.
-Compaction merges runs into a level that holds, for every digest, the identifier that stays and the number of rows.
+The log is read in ``BATCHES`` memtables.  Each is flushed as a sorted run of distinct digests with the identifier that
+stays and the number of rows, and with a filter: a bitmap of fixed size.  Compaction merges the runs and the level before
+them into a new level; it probes the filters of the other tables for every digest, hands on what none of them can have as
+it is, and shuffles and merges the rest.  Later batches can be flushed and compacted into an existing level.
 Documents whose digest the level holds more than once are hits; their normalised bytes are compared with those of the
 row that stays, and a hit that differs is grouped by its text itself, so a digest collision costs time, never a row.
 
@@ -19,21 +21,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import FILTER_BITS, Scratch, ascii_lower, bitmap_of, maybe_in, read_table
+from ._common import FILTER_BITS, Scratch, ascii_lower, bitmap_of, maybe_in, maybe_in_any, read_table, surely_out
 
 HOT_SHARE = 1000
 VERIFY_ROWS = 1024
+BATCHES = 4  # memtables of the registered query
 
 
 class DigestIndex:
     """A log-structured merge index: digest -> (identifier that stays, rows)."""
 
-    def __init__(self, spark: SparkSession, keep: str = "min", digest_bits: int = 256):
+    def __init__(self, spark: SparkSession, keep: str = "min", digest_bits: int = 256, filter_bits: int = FILTER_BITS):
         self.scratch = Scratch(spark, "exact-dedup")
         self.pick = F.max if keep == "max" else F.min
-        self.digest_bits = digest_bits
-        self.runs: list[DataFrame] = []
-        self.level: DataFrame | None = None
+        self.digest_bits, self.filter_bits = digest_bits, filter_bits
+        self.runs: list[tuple[DataFrame, DataFrame]] = []  # sorted runs and their filters
+        self.level: tuple[DataFrame, DataFrame] | None = None
 
     def digested(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = ascii_lower(F.col(text_col))
@@ -41,36 +44,58 @@ class DigestIndex:
         rows = rows.withColumn("sha", F.unhex(F.sha2("norm", 256)))
         return rows.withColumn("digest", F.substring("sha", 1, self.digest_bits // 8))
 
-    def flush(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Write a batch as sorted runs, one for each task."""
-        rows = self.digested(docs, id_col, text_col).select("digest", "doc_id", "sha").sortWithinPartitions("digest")
-        run = self.scratch.table(rows, {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"})
-        self.runs.append(run)
-        return run
+    def log(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """The rows (digest, doc_id, sha) of documents, written once."""
+        return self.scratch.table(self.digested(docs, id_col, text_col).select("digest", "doc_id", "sha"))
+
+    def _stored(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        table = self.scratch.table(rows.sortWithinPartitions("digest"))
+        return table, self.scratch.table(bitmap_of(table, "digest", self.filter_bits))
+
+    def flush(self, log: DataFrame) -> DataFrame:
+        """A memtable of the log becomes a sorted run of distinct digests."""
+        rows = log.groupBy("digest").agg(self.pick("doc_id").alias("keep_id"), F.count("*").alias("n"))
+        self.runs.append(self._stored(rows))
+        return self.runs[-1][0]
 
     def compact(self) -> DataFrame:
-        """Merge all runs that aren't merged yet into the level."""
-        parts = [r.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")) for r in self.runs]
-        if self.level is not None:
-            parts.append(self.level)
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.unionByName(p)
-        merged = rows.groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        self.level = self.scratch.table(merged.sortWithinPartitions("digest"), {"parquet.bloom.filter.enabled#digest": "true"})
-        self.runs = []
-        return self.level
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest_bits: int = 256, filter_bits: int = FILTER_BITS) -> DataFrame:
+        """Merge the runs into the level.  Digests that no other table's filter has aren't shuffled."""
+        tables = self.runs + ([self.level] if self.level is not None else [])
+        alone, meet = [], []
+        for i, (table, _) in enumerate(tables):
+            others = [bitmap for j, (_, bitmap) in enumerate(tables) if j != i]
+            rest = table
+            for bitmap in others:
+                rest = surely_out(rest, "digest", bitmap, self.filter_bits)
+            alone.append(rest)
+            meet += [maybe_in_any(table, "digest", others, self.filter_bits)] if others else []
+        rows = _union(alone)
+        if meet:
+            rows = rows.unionByName(_union(meet).groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n")))
+        level = self._stored(rows)
+        self.scratch.drop(*(t for pair in tables for t in pair))
+        self.level, self.runs = level, []
+        return level[0]
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest_bits: int = 256, filter_bits: int = FILTER_BITS, batches: int = BATCHES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``keep`` says whether the smallest or the largest identifier of equal texts stays.  ``digest_bits`` shortens the
-    digests of the index (tests use it to force collisions); results don't depend on it.
+    digests of the index (tests use it to force collisions) and ``batches`` is the number of memtables; results don't depend on them.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, keep, digest_bits)
-    log = index.flush(docs, id_col, text_col)
+    index = DigestIndex(spark, keep, digest_bits, filter_bits)
+    log = index.log(docs, id_col, text_col)
+    for k in range(batches):
+        index.flush(log.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
     level = index.compact()
     total = log.count()
     dup = level.where("n > 1")

@@ -4,7 +4,8 @@ Affix, n-gram and lexicon features and learned transitions label every word by f
 switches languages is read piece by piece; a document's language is the label of largest mean probability.  The field is
 fitted on the driver to a bounded sample of labelled rows, ``SAMPLE`` for each language with at most ``SAMPLE_CHARS``
 characters each, chosen by a hash of the text, and sent to the workers: ``BUCKETS`` weights for each language, whatever
-the corpus's size.  Whole texts are labelled, in spans of ``SPAN`` words.  Nothing is shuffled but label counts.
+the corpus's size.  Whole texts are labelled, in spans of words that each see some words of their neighbours.  Nothing is
+shuffled but label counts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if no row is labelled.
 Rows without identifier are never trained on.  Rows repeat as in the input.
@@ -29,7 +30,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sam
     """A model from a sample of the labelled rows."""
     from ._crf import train, words_of
 
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text RLIKE '[^\\\\W\\\\d_]' AND length(text) <= %d" % sample_chars)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}' AND length(text) <= %d" % sample_chars)
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return train([])
@@ -62,7 +63,9 @@ def identify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 def _read(sent, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
     from ._arrow_text import batches
     from ._crf import words_of
+    from ._worker import claim
 
+    claim("language", _readers.clear)
     reader = _reader(sent)
     texts = [t or "" for t in texts]
     out = []

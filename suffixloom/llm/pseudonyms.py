@@ -3,7 +3,8 @@
 Values that pass their format's check - card numbers by their check digit, IBANs by theirs, dates by the calendar, IPv4
 addresses by their range, social security and phone numbers by their form - are permuted within their format under a
 secret key, so equal values stay linked across documents and the result still passes the check.  Numbers that fail
-their check are no personal data and stay.  Names of mail boxes are permuted character class by character class.
+their check are no personal data and stay.  Names of mail boxes are permuted character class by character class, those of
+other scripts within the letters around them; a name without any letter or digit stays.
 Documents are independent: nothing is shuffled.
 
 Defined cases: null text stays null; a text without such values is returned as it is; rows repeat as in the input.

@@ -3,8 +3,10 @@
 Base spans are the matches of three patterns.  The method adds spans of kind ``markov``: runs of at least ``RUN``
 characters of tokens that a first-order Markov model of random strings explains better than one of ordinary identifiers,
 by ``MARGIN`` nats or more, and that touch no base span.  Both models are counts of character pairs over labelled
-samples: values of base matches and digests in base64 are random, other words are ordinary.  The samples come from at
-most ``SAMPLE_ROWS`` rows; the table has a row for each pair of an alphabet of 66 characters, whatever the input's size.
+samples: values of base matches and digests in base64 are random; other words, alone and joined to identifiers as in
+``two_words``, ``two-words`` and ``twoWords``, are ordinary.  The samples come from about ``SAMPLE_ROWS`` distinct texts of at
+most ``SAMPLE_CHARS`` characters, chosen by a hash of the text; the table has a row for each pair of an alphabet of 66
+characters, whatever the input's size, and doesn't depend on partitioning.
 
 Positions count code points.  A match's place follows from the lengths of the parts between matches, so texts
 without any match are only searched.
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import read_table, sample_texts
 
 #: The patterns of the contract.  Fixed values.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -32,6 +34,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = 20
 MARGIN = 12.0
 SAMPLE_ROWS = 2_000
+SAMPLE_CHARS = 20_000
 RANDOM_STRINGS = 3_000
 BACK_OFF = 20.0  # pairs that the share of a character weighs
 _CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}" % RUN
@@ -69,14 +72,16 @@ def _pairs(strings: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[float]:
     """Log-likelihood ratios of all pairs of the alphabet, row by row: random over ordinary."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).limit(rows)
+    texts = sample_texts(docs, text_col, rows, SAMPLE_CHARS)
     values = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), 2)).alias("s"))
     values = values.unionByName(texts.select(F.explode(F.regexp_extract_all("text", F.lit(f"({ACCESS}|{HEX})"), 1)).alias("s")))
     made = spark.range(RANDOM_STRINGS).select(F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256))).alias("s"))
     random = values.unionByName(made).select(F.explode(F.regexp_extract_all("s", F.lit("([A-Za-z0-9+/_-]{8,})"), 1)).alias("s"))
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    ordinary = texts.select(F.explode(F.regexp_extract_all(rest, F.lit("([A-Za-z0-9+/_-]{3,})"), 1)).alias("s"))
-    ordinary = ordinary.where(F.length("s") < RUN)  # what may be a secret itself isn't a sample of ordinary words
+    words = texts.select(F.split(rest, "[^A-Za-z0-9+/_-]+").alias("ws")).select(F.filter("ws", lambda w: (F.length(w) >= 2) & (F.length(w) < RUN)).alias("ws"))
+    camel = F.transform("ws", lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, RUN))))
+    # what may be a secret itself, a run of RUN characters, isn't a sample of ordinary words
+    ordinary = words.select(F.explode(F.concat("ws", F.array(F.array_join("ws", "_"), F.array_join("ws", "-"), F.array_join(camel, "")))).alias("s"))
     size = len(ALPHABET)
 
     def logs(strings: DataFrame) -> list[list[float]]:

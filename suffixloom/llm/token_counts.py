@@ -1,7 +1,8 @@
 """Operator 8: token counts by a map-side two-tier lookup; no pre-token is shuffled.
 
 Tier one is a compact table, broadcast to the workers: pre-token -> number of tokens, for the pre-tokens that are most
-frequent in a sample of ``SAMPLE_ROWS`` rows, cut to ``TABLE_SIZE`` entries.  It only saves work: a pre-token has the same
+frequent in a sample of about ``SAMPLE_ROWS`` distinct texts of at most ``SAMPLE_CHARS`` characters, chosen by a hash of the
+text, cut to ``TABLE_SIZE`` entries.  It only saves work: a pre-token has the same
 number of tokens wherever it is looked up.  Tier two is a cache in each worker, bounded by ``CACHE`` entries; misses are
 encoded by the tokenizer library itself, a batch at a time.
 
@@ -16,11 +17,12 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import read_table, sample_texts
 
 SAMPLE_ROWS = 256
+SAMPLE_CHARS = 20_000
 TABLE_SIZE = 1 << 15
-CACHE = 200_000
+CACHE = 100_000
 _counters: dict[tuple[str, str], "TokenCounter"] = {}
 
 
@@ -75,7 +77,7 @@ class TokenCounter:
 def frequent_lengths(docs: DataFrame, text_col: str, tokenizer_path: str, pattern: str, rows: int = SAMPLE_ROWS, size: int = TABLE_SIZE) -> dict[str, int]:
     """The table of tier one, from a bounded sample of rows; which rows it sees changes no count."""
     counter, seen = TokenCounter(tokenizer_path, pattern), Counter()
-    for row in docs.select(F.col(text_col).alias("text")).where("text is not null").limit(rows).toLocalIterator():
+    for row in sample_texts(docs, text_col, rows, SAMPLE_CHARS).collect():
         for part in counter.parts(row.text)[0]:
             seen.update(counter.split(part))
     names = [x for x, _ in seen.most_common(size)]
@@ -95,6 +97,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, pattern: str, limit: int
 
         import pandas as pd
 
+        from ._worker import claim
+
+        claim("token counts", _counters.clear)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         key = (tokenizer_path, pattern)
         if key not in _counters:
