@@ -25,8 +25,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that near-repeat an earlier one go, and documents that consist of such lines only."""
     left = line_dedup.line_dedup(docs)
-    left = left.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
-    return left.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    n_dropped = F.col(f"`{left.columns[-1]}`")  # the operator's own column, whatever the input's are named
+    left = left.where((n_dropped == 0) | (F.trim("text") != ""))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
