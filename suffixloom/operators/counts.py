@@ -45,6 +45,14 @@ def with_sentinels(segments: DataFrame) -> DataFrame:
     return segments.withColumn("m", F.concat(F.array(F.lit("STR")), suffixes, F.array(F.lit("END"))))
 
 
+def allomorph_segments(segments: DataFrame) -> DataFrame:
+    """The segmentations with their suffixes replaced by allomorph classes; the stem stays."""
+    from ..functions.ortho import allomorph_class
+
+    suffixes = F.transform(F.slice("morphs", 2, F.greatest(F.size("morphs") - 1, F.lit(0))), allomorph_class)
+    return segments.withColumn("morphs", F.concat(F.slice("morphs", 1, 1), suffixes))
+
+
 def transition_counts(segments: DataFrame, weight: Column | None = None) -> DataFrame:
     w = (F.lit(1) if weight is None else weight).cast("bigint")
     return _pairs(with_sentinels(segments).select(w.alias("w"), "m"))

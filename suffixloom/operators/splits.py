@@ -86,6 +86,16 @@ def random_split(words: DataFrame, seed: int = 42) -> DataFrame:
     return rows.select("word", F.expr(morphs).alias("morphs"))
 
 
+def random_tiling(words: DataFrame, seed: int = 42) -> DataFrame:
+    """(word, morphs): pieces of uniform length, drawn until one letter is left, which is the last morph."""
+    n = F.length("word")
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.floor(hash_uniform(F.col("word"), p.cast("string"), F.lit("tile"), F.lit(str(seed))) * (n - p - 1)).cast("int") + p + 1)
+    rows = words.select("word", at.alias("to"))
+    fold = "aggregate(sequence(1, length(word)), struct(0 as p, cast(array() as array<int>) as ends), (s, i) -> if(length(word) - s.p > 1, struct(to[s.p] as p, concat(s.ends, array(to[s.p])) as ends), s)).ends"
+    rows = rows.select("word", F.concat(F.expr(fold), F.array(n)).alias("ends"))
+    return rows.select("word", F.expr(CUT).alias("morphs"))
+
+
 def biased_binary_split(words: DataFrame, seed: int = 42) -> DataFrame:
     """(word, stem, suffix): a suffix of 0 to 4 letters, or up to the word's length less one if that is shorter."""
     u = hash_uniform(F.col("word"), F.lit("biased"), F.lit(str(seed)))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..sources.tables import Tables
 
 END = "$"
 
@@ -102,21 +105,56 @@ def without_keys(keys: DataFrame, gone: DataFrame) -> DataFrame:
     return keys.join(gone, "word", "left_anti")
 
 
-def closure(seeds: DataFrame, knn: DataFrame, stems: DataFrame) -> DataFrame:
-    """(trie_id, word): what is reached from a seed over neighbours that begin with the seed's stem."""
-    found = seeds.select(F.col("word").alias("trie_id"), "word")
-    frontier = found
-    step = knn.select(F.col("word"), F.col("neighbour")).persist()  # read in every round
-    while True:
+def closure(seeds: DataFrame, edges: DataFrame, stems: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """(trie_id, word): what is reached from a seed over the neighbours ``edges`` (word, neighbour, cosine).
+
+    With ``stems`` (word, stem) only words that begin with the seed's stem are reached, with ``least`` only over
+    neighbours of a larger cosine.  It goes on until nothing new is reached.
+    """
+    store = Tables(seeds.sparkSession, "closure")
+    found = store.table(seeds.select(F.col("word").alias("trie_id"), "word").distinct())
+    frontier, step = found, store.table(edges if least is None else edges.where(F.col("cosine") > least))
+    while not frontier.isEmpty():
         new = frontier.join(step, "word").select("trie_id", F.col("neighbour").alias("word"))
-        new = new.join(stems.select(F.col("word").alias("trie_id"), "stem"), "trie_id").where(F.col("word").startswith(F.col("stem"))).select("trie_id", "word")
-        new = new.distinct().join(found, ["trie_id", "word"], "left_anti").localCheckpoint()  # plans would double in every round
-        if new.isEmpty():
-            break
-        found, frontier = found.unionByName(new), new
+        if stems is not None:
+            new = new.join(stems.select(F.col("word").alias("trie_id"), "stem"), "trie_id").where(F.col("word").startswith(F.col("stem"))).select("trie_id", "word")
+        frontier = store.table(new.distinct().join(found, ["trie_id", "word"], "left_anti"))
+        found = store.table(found.unionByName(frontier))
     return found
 
 
+def common_prefix(a, b):
+    """The number of letters that two strings begin with in common."""
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.length(a), F.length(b))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(a, 1, i) == F.substring(b, 1, i)), i).otherwise(n))
+
+
+def insertion_numbers(trie_words: DataFrame) -> DataFrame:
+    """(trie_id, word, seq): words are put into their trie in their order; a look-up returns the number."""
+    return trie_words.withColumn("seq", F.row_number().over(W.partitionBy("trie_id").orderBy("word")) - 1)
+
+
+def knn_tries(neighbours: DataFrame) -> DataFrame:
+    """(trie_id, word): a trie for each word, of itself and its nearest neighbours (word, neighbour)."""
+    own = neighbours.select(F.col("word").alias("trie_id"), "word").distinct()
+    return own.unionByName(neighbours.select(F.col("word").alias("trie_id"), F.col("neighbour").alias("word"))).distinct()
+
+
+def path_lines(edges: DataFrame) -> DataFrame:
+    """``root-->...-->leaf`` lines of the trees in (child, parent); a root's parent is null."""
+    leaves = edges.select(F.col("child").alias("at")).join(edges.select(F.col("parent").alias("at")), "at", "left_anti")
+    rows = leaves.select(F.col("at").alias("path"), "at")
+    done = None
+    up = edges.select(F.col("child").alias("at"), "parent")
+    store = Tables(edges.sparkSession, "paths")
+    while True:
+        rows = store.table(rows.join(up, "at", "left"))
+        ended = rows.where("parent IS NULL").select("path")
+        done = ended if done is None else done.unionByName(ended)
+        rows = rows.where("parent IS NOT NULL").select(F.concat("parent", F.lit("-->"), "path").alias("path"), F.col("parent").alias("at"))
+        if rows.isEmpty():
+            return done.select(F.col("path").alias("value"))
+
+
 def containment_parents(keys: DataFrame) -> DataFrame:
     """(child, parent): the longest other key that a key contains, found by an equi-join on exploded substrings."""
     subs = keys.select("word", F.explode(F.expr("flatten(transform(sequence(1, length(word)), i -> transform(sequence(1, length(word) - i + 1), n -> substring(word, i, n))))")).alias("part"))

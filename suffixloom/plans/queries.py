@@ -105,9 +105,9 @@ def boundary_neighbours(v: Views) -> DataFrame:
     return trie.neighbours(v.segments(), v.bounds())
 
 
-@query("SELECT morph, CAST(sum(d) AS BIGINT) AS n FROM (SELECT morph, n AS d FROM mc UNION ALL SELECT morph, -1 FROM mt WHERE trie_id = 'the' UNION ALL SELECT word, 1 FROM tw WHERE trie_id = 'the') GROUP BY morph HAVING sum(d) <> 0", "mc", "mt", "tw")
+@query("SELECT morph, CAST(sum(d) AS BIGINT) AS n FROM (SELECT morph, n AS d FROM mc UNION ALL SELECT morph, -1 FROM mt WHERE length(trie_id) = 3 UNION ALL SELECT word, 1 FROM tw WHERE length(trie_id) = 3) GROUP BY morph HAVING sum(d) <> 0", "mc", "mt", "tw")
 def delta_counts(v: Views) -> DataFrame:
-    old = v.segments().where("trie_id = 'the'")
+    old = v.segments().where("length(trie_id) = 3")
     new = old.select("trie_id", "word", F.array("word").alias("morphs"))
     return trie.changed_counts(v.counts(), old, new)
 
@@ -122,13 +122,13 @@ def wildcard_match(v: Views) -> DataFrame:
     return trie.keys_that_match(v.words(), "t..n").select("word")
 
 
-@query("SELECT q.word AS query, coalesce(arg_max(k.word, length(k.word)), '') AS found FROM (SELECT word FROM lex WHERE freq BETWEEN 5 AND 9) q LEFT JOIN w k ON starts_with(q.word, k.word) GROUP BY 1", "lex", "w")
+@query("SELECT q.word AS query, coalesce(arg_max(k.word, length(k.word)), '') AS found FROM lex q LEFT JOIN (SELECT q2.word, substring(q2.word, 1, kk) AS pre, kk FROM (SELECT word, unnest(range(1, length(word) + 1)) AS kk FROM lex) q2) x ON q.word = x.word LEFT JOIN w k ON x.pre = k.word GROUP BY 1", "lex", "w")
 def longest_prefix(v: Views) -> DataFrame:
-    queries = v.lexicon().where("freq BETWEEN 5 AND 9").select(F.col("word").alias("query"))
+    queries = v.lexicon().select(F.col("word").alias("query"))
     return trie.longest_prefix(queries, v.words(), "")
 
 
-@query("SELECT word, freq FROM w ANTI JOIN w50 USING (word)", "w", "w50")
+@query("SELECT word, freq FROM w ANTI JOIN wf USING (word)", "w", "wf")
 def anti_filter(v: Views) -> DataFrame:
     return trie.without_keys(v.words(), v.frequent())
 
@@ -139,12 +139,12 @@ def semi_filter(v: Views) -> DataFrame:
     return v.lexicon().join(stems, "word", "left_semi")
 
 
-@query("SELECT t.word, coalesce(freq, 1) AS freq FROM (SELECT DISTINCT morph AS word FROM mc) t LEFT JOIN w50 USING (word)", "mc", "w50")
+@query("SELECT t.word, coalesce(freq, 1) AS freq FROM (SELECT DISTINCT morph AS word FROM mc) t LEFT JOIN wf USING (word)", "mc", "wf")
 def freq_left_join(v: Views) -> DataFrame:
     return v.counts().select(F.col("morph").alias("word")).join(v.frequent(), "word", "left").select("word", F.coalesce("freq", F.lit(1)).alias("freq"))
 
 
-@query("SELECT k.word AS child, arg_max(p.word, (length(p.word), p.word)) AS parent FROM w50 k LEFT JOIN w50 p ON contains(k.word, p.word) AND k.word <> p.word GROUP BY 1", "w50")
+@query("SELECT k.word AS child, arg_max(p.word, (length(p.word), p.word)) AS parent FROM wf k LEFT JOIN wf p ON contains(k.word, p.word) AND k.word <> p.word GROUP BY 1", "wf")
 def containment_tree(v: Views) -> DataFrame:
     return trie.containment_parents(v.frequent())
 
@@ -158,12 +158,13 @@ def binary_splits(v: Views) -> DataFrame:
 
 
 @query(
-    "SELECT word, 2 AS m, substring(word, 1, i) || '-' || substring(word, i + 1) AS seg FROM (SELECT word, unnest(range(1, length(word))) AS i FROM w50) "
-    "UNION ALL SELECT word, 3, substring(word, 1, i) || '-' || substring(word, i + 1, j - i) || '-' || substring(word, j + 1) FROM (SELECT word, i, unnest(range(i + 1, length(word))) AS j FROM (SELECT word, unnest(range(1, length(word))) AS i FROM w50))",
-    "w50",
+    "SELECT word, 2 AS m, substring(word, 1, i) || '-' || substring(word, i + 1) AS seg FROM (SELECT word, unnest(range(1, length(word))) AS i FROM wf) "
+    "UNION ALL SELECT word, 3, substring(word, 1, i) || '-' || substring(word, i + 1, j - i) || '-' || substring(word, j + 1) FROM (SELECT word, i, unnest(range(i + 1, length(word))) AS j FROM (SELECT word, unnest(range(1, length(word))) AS i FROM wf)) "
+    "UNION ALL SELECT word, 4, substring(word, 1, i) || '-' || substring(word, i + 1, j - i) || '-' || substring(word, j + 1, k - j) || '-' || substring(word, k + 1) FROM (SELECT word, i, j, unnest(range(j + 1, length(word))) AS k FROM (SELECT word, i, unnest(range(i + 1, length(word))) AS j FROM (SELECT word, unnest(range(1, length(word))) AS i FROM wf)))",
+    "wf",
 )
 def multi_cut_splits(v: Views) -> DataFrame:
-    return splits.multi_cut_splits(v.frequent(), (2, 3)).select("word", "m", F.array_join("morphs", "-").alias("seg"))
+    return splits.multi_cut_splits(v.frequent()).select("word", "m", F.array_join("morphs", "-").alias("seg"))
 
 
 @query('SELECT prefix, "left" FROM pl', "pl")
@@ -293,7 +294,7 @@ def multiset_diff(v: Views) -> DataFrame:
 
 
 @query(
-    "SELECT w50.word, coalesce(array_to_string(morphs, '+'), w50.word) AS seg, round(score, 9) AS score FROM w50 LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ends) AS r FROM tl) WHERE r = 1) f ON w50.word = f.word",
+    "SELECT wf.word, coalesce(array_to_string(morphs, '+'), wf.word) AS seg, round(score, 9) AS score FROM wf LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ends) AS r FROM tl) WHERE r = 1) f ON wf.word = f.word",
     "tl",
 )
 def decode_unigram(v: Views) -> DataFrame:
@@ -318,9 +319,9 @@ def decode_bigram(v: Views) -> DataFrame:
 
 
 @query(
-    "SELECT w50.word, CASE WHEN g.ok THEN array_to_string(g.morphs, '+') ELSE coalesce(array_to_string(f.morphs, '+'), w50.word) END AS seg FROM w50 "
-    "LEFT JOIN (SELECT word, morphs, true AS ok FROM seg WHERE len(list_filter(morphs, lambda m: m NOT IN (SELECT morph FROM pd))) = 0) g ON w50.word = g.word "
-    "LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ends) AS r FROM tl) WHERE r = 1) f ON w50.word = f.word".replace(
+    "SELECT wf.word, CASE WHEN g.ok THEN array_to_string(g.morphs, '+') ELSE coalesce(array_to_string(f.morphs, '+'), wf.word) END AS seg FROM wf "
+    "LEFT JOIN (SELECT word, morphs, true AS ok FROM seg WHERE len(list_filter(morphs, lambda m: m NOT IN (SELECT morph FROM pd))) = 0) g ON wf.word = g.word "
+    "LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, ends) AS r FROM tl) WHERE r = 1) f ON wf.word = f.word".replace(
         "SELECT word, morphs, true AS ok FROM seg WHERE len(list_filter(morphs, lambda m: m NOT IN (SELECT morph FROM pd))) = 0",
         "SELECT mt.word, any_value(seg.morphs) AS morphs, true AS ok FROM mt JOIN seg ON mt.word = seg.word LEFT JOIN pd ON pd.morph = mt.morph GROUP BY mt.word HAVING count(*) = count(pd.morph)",
     ),
@@ -345,8 +346,8 @@ _RS = """
 v AS (SELECT count(*) AS v FROM tm),
 af AS (SELECT morph FROM tm WHERE morph NOT IN ('STR', 'END')),
 rt AS (
-  SELECT w50.word, length(stem) AS b, [stem] AS morphs, [length(stem)] AS ends, ln(p) AS score, 'STR' AS prev
-  FROM w50 JOIN stems ON starts_with(w50.word, stem) AND length(stem) >= 2 AND stem <> w50.word
+  SELECT wf.word, length(stem) AS b, [stem] AS morphs, [length(stem)] AS ends, ln(p) AS score, 'STR' AS prev
+  FROM wf JOIN stems ON starts_with(wf.word, stem) AND length(stem) >= 2 AND stem <> wf.word
   UNION ALL
   SELECT rt.word, b + length(af.morph), list_append(morphs, af.morph), list_append(ends, b + length(af.morph)),
          score + ln((coalesce(tr.n, 0) + 1) / CAST(a.n + v.v AS DOUBLE)), af.morph
@@ -361,7 +362,7 @@ done AS (
 
 
 def _resegment_sql(score: str) -> str:
-    head = with_views("", "st", "tm", "tr", "w50").rstrip()
+    head = with_views("", "st", "tm", "tr", "wf").rstrip()
     return head + _RS + f"SELECT word, array_to_string(morphs, '+') AS seg, round(score, 9) AS score FROM (SELECT word, morphs, {score} AS score, row_number() OVER (PARTITION BY word ORDER BY {score} DESC, ends) AS r FROM done) WHERE r = 1"
 
 
@@ -404,11 +405,6 @@ def resegment_semantic(v: Views) -> DataFrame:
     return _chained(v, decode.semantic_prior)
 
 
-@query(None)
-def resegment_allomorph(v: Views) -> DataFrame:
-    return decode.resegment(decode.transition_score(*_transitions(v), key=ortho.allomorph_class)).select("word", seg(), r9("score").alias("score"))
-
-
 # Vectors
 
 _COS = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
@@ -419,18 +415,15 @@ def cosine_table(v: Views) -> DataFrame:
     return vectors.cosine_table(v.words(), v.vectors()).select("left", "prefix", r9("cosine").alias("cosine"))
 
 
-@query(f"SELECT word, neighbour, round(c, 6) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(c, 12) DESC, neighbour) AS rank FROM (SELECT a.word, b.word AS neighbour, {_COS.format('a.vec', 'b.vec')} AS c FROM (SELECT * FROM vc WHERE length(word) = 4) a JOIN vc b ON a.word <> b.word)) WHERE rank <= 5", "vc")
+@query(f"SELECT word, neighbour, round(c, 6) AS cosine, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY round(c, 12) DESC, neighbour) AS rank FROM (SELECT a.word, b.word AS neighbour, {_COS.format('a.vec', 'b.vec')} AS c FROM (SELECT * FROM vc WHERE vec_id % 20 = 0) a JOIN vc b ON a.word <> b.word)) WHERE rank <= 5", "vc")
 def knn_topk(v: Views) -> DataFrame:
     vs = v.vectors()
-    return vectors.nearest(vs.where("length(word) = 4").select("word"), vs, 5).select("word", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+    return vectors.nearest(vs.where("vec_id % 20 = 0").select("word"), vs, 5).select("word", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 @query(None)
 def nested_segment(v: Views) -> DataFrame:
-    return vectors.nested_segment(v.lexicon(LEAST_NESTED), v.vectors(), 0.05).select("word", "freq", "found", seg())
-
-
-LEAST_NESTED = 20
+    return vectors.nested_segment(v.lexicon(), v.vectors(), 0.05).select("word", "freq", "found", seg())
 
 
 @query(None)
@@ -446,6 +439,10 @@ def _posterior_sql(grams: str, model: str, separated: bool) -> str:
     a, g, d = "0.01", "0.037", "1"
     stems = "(SELECT m[1] AS morph, count(*) AS n FROM mk GROUP BY 1)" if separated else "(SELECT morph, count(*) AS n FROM (SELECT unnest(m) AS morph FROM mk) GROUP BY 1)"
     suffixes = "(SELECT morph, count(*) AS n FROM (SELECT unnest(m[2:]) AS morph FROM mk) GROUP BY 1)" if separated else stems
+    own_s = "(SELECT word, m[1] AS morph, 1 AS k FROM mk)" if separated else "(SELECT word, morph, count(*) AS k FROM (SELECT word, unnest(m) AS morph FROM mk) GROUP BY 1, 2)"
+    own_f = "(SELECT word, morph, count(*) AS k FROM (SELECT word, unnest(m[2:]) AS morph FROM mk) GROUP BY 1, 2)" if separated else own_s
+    own_b = "(SELECT word, m[i] AS first, m[i + 1] AS second, count(*) AS k FROM (SELECT word, m, unnest(range(1, len(m))) AS i FROM mk) GROUP BY 1, 2, 3)"
+    d_s, d_f = ("1", "len(mk.m) - 1") if separated else ("len(mk.m)", "len(mk.m)")
     one = "0" if separated else "1"
     ls, lf = "CASE WHEN stem = '$' THEN 0 ELSE length(stem) END", "CASE WHEN suffix = '$' THEN 0 ELSE length(suffix) END"
     nf = f"(nf + CASE WHEN stem = suffix THEN {one} ELSE 0 END)"
@@ -476,11 +473,13 @@ def _posterior_sql(grams: str, model: str, separated: bool) -> str:
         f"""SELECT word, idx, stem, suffix, round(weight / nullif(sum(weight) OVER (PARTITION BY word), 0), 9) AS prob FROM (
 SELECT word, idx, stem, suffix, CASE WHEN x <= 0 OR y <= 0 THEN 0 ELSE pow(10, log10(x) + log10(y)) END AS weight FROM (
 SELECT *, CAST({stem} AS DOUBLE) AS x, CAST({second} AS DOUBLE) AS y FROM (
-SELECT bs.word, bs.idx, bs.stem, bs.suffix, CAST(coalesce(s.n, 0) AS DOUBLE) AS ns, CAST(coalesce(f.n, 0) AS DOUBLE) AS nf, CAST(coalesce(bg.n, 0) AS DOUBLE) AS nsf,
-  (SELECT CAST(sum(n) AS DOUBLE) FROM {stems}) AS N_s, (SELECT CAST(count(*) AS DOUBLE) FROM {stems}) AS T_s,
-  (SELECT CAST(sum(n) AS DOUBLE) FROM {suffixes}) AS N_f, (SELECT CAST(count(*) AS DOUBLE) FROM {suffixes}) AS T_f,
+SELECT bs.word, bs.idx, bs.stem, bs.suffix, CAST(coalesce(s.n, 0) - coalesce(os.k, 0) AS DOUBLE) AS ns, CAST(coalesce(f.n, 0) - coalesce(of.k, 0) AS DOUBLE) AS nf, CAST(coalesce(bg.n, 0) - coalesce(ob.k, 0) AS DOUBLE) AS nsf,
+  (SELECT CAST(sum(n) AS DOUBLE) FROM {stems}) - {d_s} AS N_s, (SELECT CAST(count(*) AS DOUBLE) FROM {stems}) AS T_s,
+  (SELECT CAST(sum(n) AS DOUBLE) FROM {suffixes}) - ({d_f}) AS N_f, (SELECT CAST(count(*) AS DOUBLE) FROM {suffixes}) AS T_f,
   (SELECT CAST(count(DISTINCT first) AS DOUBLE) FROM bg) AS B
-FROM bs LEFT JOIN {stems} s ON s.morph = bs.stem LEFT JOIN {suffixes} f ON f.morph = bs.suffix LEFT JOIN bg ON bg.first = bs.stem AND bg.second = bs.suffix)))""",
+FROM bs JOIN mk ON mk.word = bs.word LEFT JOIN {stems} s ON s.morph = bs.stem LEFT JOIN {suffixes} f ON f.morph = bs.suffix LEFT JOIN bg ON bg.first = bs.stem AND bg.second = bs.suffix
+LEFT JOIN {own_s} os ON os.word = bs.word AND os.morph = bs.stem LEFT JOIN {own_f} of ON of.word = bs.word AND of.morph = bs.suffix
+LEFT JOIN {own_b} ob ON ob.word = bs.word AND ob.first = bs.stem AND ob.second = bs.suffix)))""",
         "bs", "mk", "bg",
     )
 
@@ -490,7 +489,8 @@ def _add_posterior(grams: str, model: str, separated: bool) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = Views(spark, sf_dir)
-        out = sampler.posterior(v.words(), sampler.count_tables(v.segments(), separated), grams, model, separated)
+        segments = v.segments()
+        out = sampler.posterior(segments, sampler.count_tables(segments, separated), grams, model, separated)
         return out.select("word", "idx", "stem", "suffix", r9("prob").alias("prob"))
 
     QUERIES[name] = run
@@ -508,17 +508,6 @@ def gibbs_sweep_1(v: Views) -> DataFrame:
     return sampler.gibbs_sweep(v.segments(), "bi", "dp", True).select("word", seg())
 
 
-@query(None)
-def metropolis_step(v: Views) -> DataFrame:
-    probs = counts.unigram_probs(v.counts())
-
-    def scored(rows: DataFrame) -> DataFrame:
-        parts = rows.select("word", "morphs", F.explode("morphs").alias("morph")).join(probs, "morph", "left")
-        return parts.groupBy("word", "morphs").agg(F.sum(F.log10(F.coalesce("p", F.lit(1e-7)))).alias("score"))
-
-    return sampler.metropolis(scored(v.segments()), scored(splits.random_split(v.words())), 1, 42).select("word", seg(), "accepted")
-
-
 @query(
     "SELECT word, CAST(pos - 1 AS INT) AS pos, morph, round(log10(CASE WHEN n > 0 THEN n / (total + 0.01) ELSE 0.01 * pow(0.037, length(morph) + 1) / (total + 0.01) END), 9) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY morph ORDER BY word, pos) - 1 AS DOUBLE) AS n, CAST(row_number() OVER (ORDER BY word, pos) - 1 AS DOUBLE) AS total FROM mt)",
     "mt",
@@ -527,12 +516,6 @@ def joint_score(v: Views) -> DataFrame:
     return sampler.sequential_dp(v.segments(), 0.01, 0.037).select("word", "pos", "morph", r9("score").alias("score"))
 
 
-@query(None)
-def block_step(v: Views) -> DataFrame:
-    toggled = v.bounds().groupBy("trie_id").agg(F.min("prefix").alias("prefix"))
-    return sampler.block_step(v.segments(), v.bounds(), toggled).select("trie_id", r9("d_score").alias("d_score"))
-
-
 # Sinks
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import counts, trie
-from ..sources import ALPHABET, lexicon, lexicon_vectors
+from ..sources import lexicon, lexicon_vectors
 
 LEAST = 10  # least frequency of a word of the tries
+DECODED = 20  # least frequency of a word that is decoded
 MORPH_ABOVE = 25  # decoders keep morphs above this count
 
 
@@ -28,7 +29,7 @@ class Views:
         return self.lexicon(LEAST)
 
     def frequent(self) -> DataFrame:
-        return self.lexicon(50)
+        return self.lexicon(DECODED)
 
     def trie_words(self) -> DataFrame:
         return trie.by_prefix(self.words())
@@ -54,9 +55,9 @@ class Views:
 
 _CTES = {
     "tok": (r"SELECT unnest(string_split(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' ')) AS word FROM documents", ()),
-    "lex": (f"SELECT word, count(*) AS freq FROM tok WHERE length(word) >= 2 AND regexp_full_match(word, '[{ALPHABET}]+') GROUP BY word", ("tok",)),
+    "lex": ("SELECT word, count(*) AS freq FROM tok WHERE length(word) >= 2 GROUP BY word", ("tok",)),
     "w": (f"SELECT word, freq FROM lex WHERE freq >= {LEAST}", ("lex",)),
-    "w50": ("SELECT word, freq FROM lex WHERE freq >= 50", ("lex",)),
+    "wf": (f"SELECT word, freq FROM lex WHERE freq >= {DECODED}", ("lex",)),
     "tw": ("SELECT substring(word, 1, 3) AS trie_id, word FROM w", ("w",)),
     "pk": ("SELECT trie_id, word, unnest(range(1, length(word) + 1)) AS k FROM tw", ("tw",)),
     "tn": ("SELECT trie_id, substring(word, 1, k) AS prefix, CAST(count(DISTINCT CASE WHEN k = length(word) THEN '$' ELSE substring(word, k + 1, 1) END) AS INT) AS n_children, bool_or(k = length(word)) AS is_word FROM pk GROUP BY 1, 2", ("pk",)),
@@ -74,13 +75,14 @@ _CTES = {
     "st": ("SELECT word, freq, list_concat(['STR'], morphs[2:], ['END']) AS m, morphs[1] AS stem FROM sf", ("sf",)),
     "tr": ("SELECT first, second, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT m[i] AS first, m[i + 1] AS second, freq FROM (SELECT m, freq, unnest(range(1, len(m))) AS i FROM st)) GROUP BY 1, 2", ("st",)),
     "tm": ("SELECT morph, CAST(sum(freq) AS BIGINT) AS n FROM (SELECT unnest(m) AS morph, freq FROM st) GROUP BY 1", ("st",)),
-    "vc": ("SELECT word, embedding AS vec FROM (SELECT word, row_number() OVER (ORDER BY freq DESC, word) - 1 AS vec_id FROM lex) r JOIN embeddings e ON r.vec_id = e.vec_id", ("lex",)),
+    "vc": ("SELECT word, r.vec_id, embedding AS vec FROM (SELECT word, row_number() OVER (ORDER BY freq DESC, word) - 1 AS vec_id FROM lex) r JOIN embeddings e ON r.vec_id = e.vec_id", ("lex",)),
+    "cp": ("SELECT trie_id, word, i, len(morphs) AS n, array_to_string(morphs[1:i], '') AS prefix FROM (SELECT trie_id, word, morphs, unnest(range(1, len(morphs) + 1)) AS i FROM seg)", ("seg",)),
     "pp": ("SELECT DISTINCT substring(word, 1, k) AS prefix FROM (SELECT word, unnest(range(2, length(word) + 1)) AS k FROM w)", ("w",)),
     "pl": ("SELECT prefix, substring(prefix, 1, k) AS \"left\" FROM (SELECT prefix, unnest(range(1, length(prefix))) AS k FROM pp)", ("pp",)),
     "tile": (
-        "SELECT w50.word, length(morph) AS b, [morph] AS morphs, [length(morph)] AS ends, log10(p) AS score FROM w50 JOIN pd ON starts_with(w50.word, morph) "
+        "SELECT wf.word, length(morph) AS b, [morph] AS morphs, [length(morph)] AS ends, log10(p) AS score FROM wf JOIN pd ON starts_with(wf.word, morph) "
         "UNION ALL SELECT tile.word, b + length(pd.morph), list_append(morphs, pd.morph), list_append(ends, b + length(pd.morph)), score + log10(p) FROM tile JOIN pd ON substring(tile.word, b + 1, length(pd.morph)) = pd.morph WHERE b < length(tile.word)",
-        ("w50", "pd"),
+        ("wf", "pd"),
     ),
     "tl": ("SELECT word, morphs, ends, score FROM tile WHERE b = length(word)", ("tile",)),
     "bs": ("SELECT word, idx, substring(word, 1, length(word) - idx) AS stem, CASE WHEN idx = 0 THEN '$' ELSE substring(word, length(word) - idx + 1, idx) END AS suffix FROM (SELECT word, CAST(unnest(range(0, CASE WHEN length(word) >= 6 THEN 5 WHEN length(word) > 1 THEN length(word) - 1 ELSE length(word) END)) AS INT) AS idx FROM w)", ("w",)),

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ALPHABET = "abcdefghijklmnopqrstuvwxyzäöüßéèàâêîôûçñáíóúœ"
-
 
 def text_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Lines (value) of text files; other encodings than UTF-8, such as ISO-8859-9, go through the CSV reader."""
@@ -56,9 +54,9 @@ def raw_tokens(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def normalised_tokens(texts: DataFrame, column: str = "text") -> DataFrame:
-    """Lower-case words of letters, two or more, in the alphabet."""
+    """Lower-case words of letters of any script, two or more."""
     words = F.explode(F.split(F.regexp_replace(F.lower(column), "[^\\p{L}]+", " "), " "))
-    return texts.select(words.alias("word")).where((F.length("word") >= 2) & F.col("word").rlike(f"^[{ALPHABET}]+$"))
+    return texts.select(words.alias("word")).where(F.length("word") >= 2)
 
 
 def lexicon(texts: DataFrame, threshold: int = 1) -> DataFrame:
@@ -70,7 +68,7 @@ def lexicon_vectors(words: DataFrame, embeddings: DataFrame) -> DataFrame:
     n = embeddings.agg((F.max("vec_id") + 1).cast("int")).first()[0] or 0
     top = words.orderBy(F.desc("freq"), "word").limit(n)
     ranked = top.withColumn("vec_id", (F.row_number().over(W.orderBy(F.desc("freq"), "word")) - 1).cast("bigint"))
-    return ranked.join(embeddings, "vec_id").select("word", F.col("embedding").alias("vec"))
+    return ranked.join(embeddings, "vec_id").select("word", "vec_id", F.col("embedding").alias("vec"))
 
 
 def last_by_order(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
@@ -78,6 +76,17 @@ def last_by_order(rows: DataFrame, key: str, value: str, order: str) -> DataFram
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def parse_hand_segmented(lines: DataFrame) -> DataFrame:
+    """(word, morphs) of lines ``stem+suffix+...``."""
+    morphs = F.filter(F.split(F.trim("value"), "\\+"), lambda x: x != "")
+    return lines.select(F.array_join(morphs, "").alias("word"), morphs.alias("morphs")).where("word != ''")
+
+
+def load_tries(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a directory of tries, a folder for each trie_id."""
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def load_table(spark: SparkSession, path: str, name: str, above: int | None = None) -> DataFrame:
     """A stored model table; counts strictly above a threshold."""
     rows = spark.read.parquet(f"{path}/{name}")

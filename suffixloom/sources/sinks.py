@@ -35,8 +35,9 @@ def dump_lines(rows: DataFrame, value: str) -> DataFrame:
 def result_lines(decoded: DataFrame, language: str = "tr") -> DataFrame:
     """``word<tab>segmentation`` in the evaluator's letters."""
     seg = F.array_join("morphs", " ")
-    to = turkish_ascii if language == "tr" else german_map
-    return decoded.select(F.concat_ws("\t", to(F.col("word")), to(seg)).alias("value"))
+    if language == "tr":
+        return decoded.select(F.concat_ws("\t", turkish_ascii(F.col("word")), turkish_ascii(seg)).alias("value"))
+    return decoded.select(F.concat_ws("\t", german_map(F.col("word")), german_map(seg, capital_first=True)).alias("value"))
 
 
 def trie_lines(segments: DataFrame) -> DataFrame:
@@ -57,6 +58,35 @@ def write_model(tables: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_tries(nodes: DataFrame, path: str) -> None:
+    """A folder of Parquet for each trie."""
+    nodes.write.mode("overwrite").partitionBy("trie_id").parquet(path)
+
+
+def nested_results(nested: DataFrame) -> DataFrame:
+    """``freq stem+suffix`` lines of the words that were found."""
+    return nested.where("found").select(F.concat_ws(" ", F.col("freq").cast("string"), F.array_join("morphs", "+")).alias("value"))
+
+
+def nested_absents(nested: DataFrame) -> DataFrame:
+    return nested.where("NOT found").select(F.concat_ws(" ", F.col("freq").cast("string"), "word").alias("value"))
+
+
+def nested_totals(nested: DataFrame) -> DataFrame:
+    """(kind, key, mass): word frequencies added up by result, stem, affix and absent word."""
+    found = nested.where("found")
+    part = lambda rows, kind, key: rows.select(F.lit(kind).alias("kind"), key.alias("key"), "freq")
+    rows = part(found, "result", F.array_join("morphs", "+")).unionByName(part(found, "stem", F.element_at("morphs", 1)))
+    rows = rows.unionByName(part(found, "affix", F.explode(F.expr("slice(morphs, 2, size(morphs))")))).unionByName(part(nested.where("NOT found"), "absent", F.col("word")))
+    return rows.groupBy("kind", "key").agg(F.sum("freq").alias("mass"))
+
+
+def nested_stems(nested: DataFrame) -> DataFrame:
+    """``mass stem`` lines."""
+    stems = nested_totals(nested).where("kind = 'stem'")
+    return stems.select(F.concat_ws(" ", F.col("mass").cast("string"), "key").alias("value"))
+
+
 def word_segmentations(samples: DataFrame) -> DataFrame:
     """word -> its distinct segmentations, the form in which samplers hand over to decoders."""
     return samples.groupBy("word").agg(F.sort_array(F.collect_set(F.array_join("morphs", "+"))).alias("segs"))
