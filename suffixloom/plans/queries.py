@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import ortho, scores
 from ..operators import counts, decode, sampler, splits, trie, vectors
 from ..sources import raw_tokens
-from ..sources.sinks import bigram_lines, count_lines, dump_lines, result_lines, transition_lines, trie_lines
+from ..sources.sinks import bigram_lines, count_lines, dump_lines, result_lines, trie_lines
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -539,12 +539,6 @@ def sink_results(v: Views) -> DataFrame:
     return result_lines(v.segments())
 
 
-@query(None)
-def sink_transitions(v: Views) -> DataFrame:
-    rows = _weighted(v)
-    return transition_lines(counts.laplace_transitions(counts.transition_counts(rows, F.col("freq")), counts.transition_morphs(rows, F.col("freq"))))
-
-
 @query("SELECT trie_id, array_to_string(list_sort(list(CASE WHEN len(morphs) > 1 THEN array_to_string(morphs[:-2], '') || ' ' || morphs[-1] ELSE word END)), '_') AS value FROM seg GROUP BY trie_id", "seg")
 def sink_tries(v: Views) -> DataFrame:
     return trie_lines(v.segments())

@@ -69,10 +69,9 @@ def test_multiset_diff(spark):
 
 
 def test_posteriors_sum_to_one_and_sweeps_keep_words(spark, segments):
-    words = frame(spark, TRIE)
     for grams in ("uni", "bi"):
         for separated in (False, True):
-            p = sampler.posterior(words, sampler.count_tables(segments, separated), grams, "dp", separated)
+            p = sampler.posterior(segments, sampler.count_tables(segments, separated), grams, "dp", separated)
             assert all(abs(r.s - 1) < 1e-9 for r in p.groupBy("word").agg(F.sum("prob").alias("s")).collect())
     got = sampler.gibbs_sweep(segments.repartition(3), "bi", "dp", True)
     again = sampler.gibbs_sweep(segments.repartition(1), "bi", "dp", True)
@@ -124,9 +123,9 @@ def test_sweep_and_closure_go_on_until_nothing_is_open(spark, monkeypatch):
 
     from suffixloom.operators import sampler, trie
 
-    def last_letter(words, *_):
-        whole = F.length("word") == 1
-        return words.select("word", F.when(whole, F.col("word")).otherwise(F.expr("left(word, length(word) - 1)")).alias("stem"), F.when(whole, F.lit("$")).otherwise(F.expr("right(word, 1)")).alias("suffix"))
+    def last_letter(*_, left, own):
+        whole = F.length("left") == 1
+        return left.select("word", "left", F.when(whole, F.col("left")).otherwise(F.expr("substring(left, 1, length(left) - 1)")).alias("stem"), F.when(whole, F.lit("$")).otherwise(F.expr("right(left, 1)")).alias("suffix"))
 
     monkeypatch.setattr(sampler, "posterior", last_letter)
     monkeypatch.setattr(sampler, "draw", lambda rows, *_: rows)
