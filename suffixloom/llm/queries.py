@@ -17,4 +17,4 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe.op10_byte_bpe,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL, "op4_line_dedup": line_dedup.OP4_SQL, "op9_minhash_dedup": minhash_dedup.OP9_SQL}
