@@ -143,7 +143,8 @@ def parse(text: str) -> Node:
                     leave(ended)
         new = Node(name, node, *_judge(name, attrs))
         node.kids.append(new)
-        if name in VOID or attrs.rstrip().endswith("/"):
+        foreign = name in ("svg", "math") or opened.get("svg") or opened.get("math")  # elsewhere a slash closes nothing
+        if name in VOID or foreign and attrs.rstrip().endswith("/"):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE).search(text, at)

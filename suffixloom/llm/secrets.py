@@ -2,7 +2,7 @@
 
 Base spans are the matches of three patterns.  The method adds spans of kind ``markov``: runs of at least ``RUN``
 characters of tokens that a first-order Markov model of random strings explains better than one of ordinary identifiers,
-by ``MARGIN`` nats or more, and that touch no base span.  Both models are counts of character pairs over labelled
+by ``MARGIN`` nats or more and ``RATE`` for each pair, and that touch no base span.  Both models are counts of character pairs over labelled
 samples: values of base matches and digests in base64 are random; other words, alone and joined to identifiers as in
 ``two_words``, ``two-words`` and ``twoWords``, are ordinary.  The samples come from about ``SAMPLE_ROWS`` distinct texts of at
 most ``SAMPLE_CHARS`` characters, chosen by a hash of the text; the table has a row for each pair of an alphabet of 66
@@ -33,6 +33,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = 20
 MARGIN = 12.0
+RATE = 2.0  # least mean ratio of a pair, in nats: names of parts that no sample has stay below
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 20_000
 RANDOM_STRINGS = 3_000
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> lis
     return [round(x - y, 9) for p, q in zip(a, b) for x, y in zip(p, q)]
 
 
-def find_secrets(docs: DataFrame, ratios: list[float], margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_secrets(docs: DataFrame, ratios: list[float], margin: float = MARGIN, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, counts, and the arrays of structs ``base`` and ``added``."""
     size = len(ALPHABET)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -114,7 +115,7 @@ def find_secrets(docs: DataFrame, ratios: list[float], margin: float = MARGIN, i
     word = "substring(text, cast(r.start as int) + 1, cast(r.end - r.start as int))"
     place = "locate(substring(w, {0}, 1), '%s')" % ALPHABET
     score = f"aggregate(sequence(1, length(w) - 1), 0D, (s, i) -> s + get(ratios, ({place.format('i')} - 1) * {size} + {place.format('i + 1')} - 1))"
-    kept = F.expr(f"filter(free, r -> transform(array({word}), w -> {score})[0] >= {margin}D)")
+    kept = F.expr(f"filter(free, r -> transform(array({word}), w -> {score})[0] >= greatest({margin}D, {rate}D * (r.end - r.start - 1)))")
     table = F.array(*map(F.lit, ratios))
     rows = rows.withColumn("ratios", F.when(F.size("free") > 0, table)).withColumn("added", F.when(F.size("free") > 0, kept).otherwise(_none()))
     return rows.select(
