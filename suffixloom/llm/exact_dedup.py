@@ -25,7 +25,7 @@ from ._common import FILTER_BITS, Scratch, ascii_lower, bitmap_of, maybe_in, may
 
 HOT_SHARE = 1000
 VERIFY_ROWS = 1024
-BATCHES = 4  # memtables of the registered query
+BATCHES = 2  # memtables of the registered query
 
 
 class DigestIndex:
@@ -36,7 +36,7 @@ class DigestIndex:
         self.pick = F.max if keep == "max" else F.min
         self.digest_bits, self.filter_bits = digest_bits, filter_bits
         self.runs: list[tuple[DataFrame, DataFrame]] = []  # sorted runs and their filters
-        self.level: tuple[DataFrame, DataFrame] | None = None
+        self.level: DataFrame | None = None
 
     def digested(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         text = ascii_lower(F.col(text_col))
@@ -48,19 +48,19 @@ class DigestIndex:
         """The rows (digest, doc_id, sha) of documents, written once."""
         return self.scratch.table(self.digested(docs, id_col, text_col).select("digest", "doc_id", "sha"))
 
-    def _stored(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        table = self.scratch.table(rows.sortWithinPartitions("digest"))
-        return table, self.scratch.table(bitmap_of(table, "digest", self.filter_bits))
+    def _filter(self, table: DataFrame) -> DataFrame:
+        return self.scratch.table(bitmap_of(table, "digest", self.filter_bits))
 
     def flush(self, log: DataFrame) -> DataFrame:
         """A memtable of the log becomes a sorted run of distinct digests."""
         rows = log.groupBy("digest").agg(self.pick("doc_id").alias("keep_id"), F.count("*").alias("n"))
-        self.runs.append(self._stored(rows))
-        return self.runs[-1][0]
+        run = self.scratch.table(rows.sortWithinPartitions("digest"))
+        self.runs.append((run, self._filter(run)))
+        return run
 
     def compact(self) -> DataFrame:
         """Merge the runs into the level.  Digests that no other table's filter has aren't shuffled."""
-        tables = self.runs + ([self.level] if self.level is not None else [])
+        tables = self.runs + ([(self.level, self._filter(self.level))] if self.level is not None else [])
         alone, meet = [], []
         for i, (table, _) in enumerate(tables):
             others = [bitmap for j, (_, bitmap) in enumerate(tables) if j != i]
@@ -72,10 +72,10 @@ class DigestIndex:
         rows = _union(alone)
         if meet:
             rows = rows.unionByName(_union(meet).groupBy("digest").agg(self.pick("keep_id").alias("keep_id"), F.sum("n").alias("n")))
-        level = self._stored(rows)
+        self.level = self.scratch.table(rows.sortWithinPartitions("digest"))
         self.scratch.drop(*(t for pair in tables for t in pair))
-        self.level, self.runs = level, []
-        return level[0]
+        self.runs = []
+        return self.level
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:

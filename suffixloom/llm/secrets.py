@@ -3,8 +3,8 @@
 Base spans are the matches of three patterns.  The method adds spans of kind ``markov``: runs of at least ``RUN``
 characters of tokens that a first-order Markov model of random strings explains better than one of ordinary identifiers,
 by ``MARGIN`` nats or more and ``RATE`` for each pair, and that touch no base span.  Both models are counts of character pairs over labelled
-samples: values of base matches and digests in base64 are random; other words, alone and joined to identifiers as in
-``two_words``, ``two-words`` and ``twoWords``, are ordinary.  The samples come from about ``SAMPLE_ROWS`` distinct texts of at
+samples: values of base matches and digests in base64 are random; other words, and the joints of ``two_words``,
+``two-words`` and ``twoWords`` made of neighbouring ones, are ordinary, each of them once.  The samples come from about ``SAMPLE_ROWS`` distinct texts of at
 most ``SAMPLE_CHARS`` characters, chosen by a hash of the text; the table has a row for each pair of an alphabet of 66
 characters, whatever the input's size, and doesn't depend on partitioning.
 
@@ -33,7 +33,7 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = 20
 MARGIN = 12.0
-RATE = 2.0  # least mean ratio of a pair, in nats: names of parts that no sample has stay below
+RATE = 0.7  # least mean ratio of a pair, in nats: names of parts that no sample has stay below
 SAMPLE_ROWS = 2_000
 SAMPLE_CHARS = 20_000
 RANDOM_STRINGS = 3_000
@@ -80,9 +80,11 @@ def fit(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> lis
     random = values.unionByName(made).select(F.explode(F.regexp_extract_all("s", F.lit("([A-Za-z0-9+/_-]{8,})"), 1)).alias("s"))
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = texts.select(F.split(rest, "[^A-Za-z0-9+/_-]+").alias("ws")).select(F.filter("ws", lambda w: (F.length(w) >= 2) & (F.length(w) < RUN)).alias("ws"))
-    camel = F.transform("ws", lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, RUN))))
-    # what may be a secret itself, a run of RUN characters, isn't a sample of ordinary words
-    ordinary = words.select(F.explode(F.concat("ws", F.array(F.array_join("ws", "_"), F.array_join("ws", "-"), F.array_join(camel, "")))).alias("s"))
+    # what may be a secret itself, a run of RUN characters, isn't a sample of ordinary words; each counts once, however
+    # frequent it is, as do the joints of names that are made of neighbouring words
+    first = lambda w: F.substring(w, 1, 1)
+    joints = F.zip_with(F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", 2, F.size("ws")), lambda x, y: F.array(F.concat(F.right(x, F.lit(1)), F.lit("_"), first(y)), F.concat(F.right(x, F.lit(1)), F.lit("-"), first(y)), F.concat(F.right(x, F.lit(1)), F.upper(first(y)), F.lower(F.substring(y, 2, 1)))))
+    ordinary = words.select(F.explode(F.concat("ws", F.flatten(joints))).alias("s")).distinct()
     size = len(ALPHABET)
 
     def logs(strings: DataFrame) -> list[list[float]]:
