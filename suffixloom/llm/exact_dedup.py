@@ -108,7 +108,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return of_hot.unionByName(rest)
 
     # hits receive byte verification
-    hits = maybe_in(index.digested(docs, id_col, text_col), "digest", bitmap_of(dup, "digest", filter_bits), filter_bits)
+    hits = index.scratch.table(maybe_in(index.digested(docs, id_col, text_col), "digest", bitmap_of(dup, "digest", filter_bits), filter_bits))
     hits = with_group(hits, "inner").withColumn("copies", F.ceil(F.col("n") / VERIFY_ROWS).cast("int"))
     first = (
         hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
