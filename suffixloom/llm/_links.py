@@ -7,7 +7,7 @@ them for each of its items:
 1. Stars.  Every bucket is cut into parts of about ``PART`` items; each item is paired with the smallest of its part, and
    the smallest ones with each other in a chain.  Verified pairs make components.
 2. Neighbours.  In buckets that still hold more than one component, items that share another sketch too make smaller
-   groups, and each item is paired with the ``NEAR`` before it in its group that are of other components.  Buckets of up
+   groups, and each item is paired with the ``near`` before it in its group that are of other components.  Buckets of up
    to ``SMALL`` items are one group, so all their open pairs are tried.
 
 A link is missed if its items share no band, or if both steps miss it in every band that they share.
@@ -60,7 +60,7 @@ def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(keys.hint("merge"), "bucket", "left_semi")
 
 
-def near_pairs(rows: DataFrame, could: Could) -> DataFrame:
+def near_pairs(rows: DataFrame, could: Could, near: int = NEAR) -> DataFrame:
     """Pairs of items of different components that lie side by side among those that share another sketch too.
 
     A bucket of up to ``SMALL`` items isn't parted by its other sketches; a part holds up to PART * PART items.
@@ -70,7 +70,7 @@ def near_pairs(rows: DataFrame, could: Could) -> DataFrame:
     rows = rows.select("bucket", "me", "items", F.posexplode(F.when(F.col("items") <= SMALL, whole).otherwise(F.col("orders"))).alias("turn", "order"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("me.id"), F.ceil(F.col("items") / (PART * PART))))
     chain = W.partitionBy("bucket", "turn", "order", "part").orderBy("me.id")
-    before = F.array(*(F.lag("me", k).over(chain) for k in range(1, NEAR + 1)))
+    before = F.array(*(F.lag("me", k).over(chain) for k in range(1, near + 1)))
     rows = rows.select(before.alias("ps"), F.col("me").alias("q"))
     q = F.col("q")
     open_ = F.filter("ps", lambda p: p.isNotNull() & (p["label"] != q["label"]) & could(p["n"], q["n"]))
@@ -120,7 +120,7 @@ def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(old.unionByName(up.join(labels, "id", "left_anti")))
 
 
-def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Could, scratch: Scratch) -> DataFrame:
+def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Could, scratch: Scratch, near: int = NEAR) -> DataFrame:
     """Labels (id, label) of the components that verified pairs of the buckets make; ``verify`` keeps similar pairs (a, b)."""
     rows = scratch.table(parted(buckets))
     tried = scratch.table(star_pairs(rows, could))
@@ -129,6 +129,6 @@ def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could
     scratch.drop(rows)
     if open_rows.isEmpty():
         return labels
-    found = scratch.table(verify(near_pairs(open_rows, could).distinct().join(tried, ["a", "b"], "left_anti")))
+    found = scratch.table(verify(near_pairs(open_rows, could, near).distinct().join(tried, ["a", "b"], "left_anti")))
     scratch.drop(open_rows, tried)
     return labels if found.isEmpty() else merged(labels, found, scratch)
