@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._arrow_text import batches
 from ._common import read_table
 
-CACHE = 100_000
+CACHE = 200_000
 LONG = 2_000
 _coders: dict[tuple[str, str], "Coder"] = {}
 

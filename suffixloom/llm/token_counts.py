@@ -22,7 +22,7 @@ from ._common import read_table, sample_texts
 SAMPLE_ROWS = 256
 SAMPLE_CHARS = 20_000
 TABLE_SIZE = 1 << 15
-CACHE = 100_000
+CACHE = 200_000
 _counters: dict[tuple[str, str], "TokenCounter"] = {}
 
 
