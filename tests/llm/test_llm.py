@@ -82,7 +82,8 @@ def test_minhash_dedup_against_all_pairs(spark, prose):
     assert minhash_dedup(docs(spark, [])).count() == 0
 
 
-def test_line_dedup_against_all_pairs(spark, prose):
+@pytest.mark.parametrize("native", [True, False])
+def test_line_dedup_against_all_pairs(spark, prose, native):
     from suffixloom.llm.line_dedup import line_dedup
 
     rows = [(i, t + "\n\nshared line of text\n" + str(i)) for i, t in prose]
@@ -94,7 +95,7 @@ def test_line_dedup_against_all_pairs(spark, prose):
 
     sets = {p: shingles(x) for p, x in lines.items()}
     comp = _components(sorted(lines), lambda a, b: lines[a] == lines[b] or 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
-    got = {r.doc_id: r.text for r in line_dedup(docs(spark, rows)).collect()}
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, rows), native=native).collect()}
     for i, t in rows:
         assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in comp or comp[i, k] == (i, k))
     edge = line_dedup(docs(spark, EDGES).withColumnRenamed("source", "n_lines")).collect()
@@ -116,7 +117,8 @@ def test_line_dedup_of_lines_that_differ_in_words_and_length(spark):
     assert _left_of_pair(spark, cjk, cjk[:200] + "一" * 200)
 
 
-def test_line_dedup_of_small_sets_against_all_pairs(spark):
+@pytest.mark.parametrize("native", [True, False])
+def test_line_dedup_of_small_sets_against_all_pairs(spark, native):
     from suffixloom.llm.line_dedup import line_dedup
 
     texts = ["Read more >", "Read more >>", "-" * 10, "-" * 20, "* * * * *", "* * * * * * * *", "Read more", "Share", "share", "Share "]
@@ -127,7 +129,7 @@ def test_line_dedup_of_small_sets_against_all_pairs(spark):
     texts = list(dict.fromkeys(texts))
     sets = [{x[i : i + 8] for i in range(max(len(x) - 7, 1))} for x in texts]
     comp = _components(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
-    got = {r.doc_id: r.text for r in line_dedup(docs(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: r.text for r in line_dedup(docs(spark, list(enumerate(texts))), native=native).collect()}
     assert [i for i in got if got[i] == ""] and not {1, 3, 5} & {i for i in got if got[i]}
     assert {i: bool(t) for i, t in got.items()} == {i: comp[i] == i for i in range(len(texts))}
 
