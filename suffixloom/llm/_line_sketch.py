@@ -111,6 +111,18 @@ def sketch(lines: list[str], width: int, bands: int, rows: int, similarity: int,
     return np.concatenate(sizes_out), np.concatenate(([0], np.cumsum(np.concatenate(counts_out)))), np.concatenate(keys_out).view(np.int64)
 
 
+def outline(lines: list[str], width: int, words: int) -> np.ndarray:
+    """A row for each line: the parity of its distinct shingles in each of ``64 * words`` bins."""
+    bins, out = 64 * words, [np.zeros((0, words), dtype=np.int64)]
+    for start, end in _chunks([max(len(x), width) for x in lines]):
+        k = end - start
+        key = _sets(*_windows(lines[start:end], width), _BITS)
+        place = (key >> np.uint64(_BITS)) * np.uint64(bins) + (key & np.uint64(bins - 1))
+        odd = (np.bincount(place.astype(np.int64), minlength=k * bins) & 1).astype(np.uint8)
+        out.append(np.packbits(odd, bitorder="little").view("<i8").reshape(k, words))
+    return np.concatenate(out)
+
+
 def similar(a: np.ndarray, b: np.ndarray, of_a: list[str], of_b: list[str], width: int, similarity: int) -> np.ndarray:
     """Whether the shingle sets of each pair of lines, named by identifiers, reach ``similarity`` per cent."""
     out = np.zeros(len(a), dtype=bool)

@@ -9,8 +9,14 @@ them for each of its items:
 2. Neighbours.  In buckets that still hold more than one component, items that share another sketch too make smaller
    groups, and each item is paired with the ``near`` before it in its group that are of other components.  Buckets of up
    to ``SMALL`` items are one group, so all their open pairs are tried.
-
-A link is missed if its items share no band, or if both steps miss it in every band that they share.
+3. The rest.  In buckets that then still hold more than one component, every pair of items of different components is
+   compared by size and outline, and those that may be similar are verified.  An outline is the parity of an item's
+   elements in each of a number of bins: two outlines differ in no more bins than the sets do in elements, so no similar
+   pair is dropped.  Items of a bucket's largest component are compared with the others only.
+
+Steps 1 and 2 only join most components early, so that step 3 has few open pairs; what a pair costs there is a few
+instructions, but their number is the square of what stays open in a bucket.  A link is missed only if its items share no
+band.
 """
 
 from __future__ import annotations
@@ -26,21 +32,42 @@ from ._common import Scratch
 PART = 512
 JUMPS = 3
 SMALL, NEAR = 9, 16
-
-Could = Callable[[Column, Column], Column]
+MEETING = 4096  # items of a bucket that others meet in one task
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def sizes_allow(p: Column, q: Column, similarity: int) -> Column:
+    """Whether sets of such sizes can have a similarity of so many per cent."""
+    return F.least(p["n"], q["n"]) * 100 >= F.greatest(p["n"], q["n"]) * similarity
+
+
+def outlines_allow(p: Column, q: Column, similarity: int, words: int) -> Column:
+    """Whether the outlines differ in no more bins than similar sets do in elements; items without one may be similar."""
+    differ = F.bit_count(p["bits"][0].bitwiseXOR(q["bits"][0]))
+    for i in range(1, words):
+        differ = differ + F.bit_count(p["bits"][i].bitwiseXOR(q["bits"][i]))
+    return F.coalesce(differ * (100 + similarity) <= (p["n"] + q["n"]) * (100 - similarity), F.lit(True))
+
+
+def outlines(sets: DataFrame, words: int) -> DataFrame:
+    """(id, bits) of sets (id, items) of 64-bit hashes: the parity of the items in each of ``64 * words`` bins."""
+    rows = sets.select("id", F.explode("items").alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned(F.col("x"), 6).bitwiseAND(words - 1)  # words is a power of two
+    made = [F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(words)]
+    return rows.groupBy("id").agg(*made).select("id", F.array(*(f"w{i}" for i in range(words))).alias("bits"))
+
+
 def parted(buckets: DataFrame) -> DataFrame:
     """The rows of buckets of two items and more, with their number.  A merge join lets skewed buckets be split."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("items")).where("items > 1")
     return buckets.join(many.hint("merge"), "bucket")
 
 
-def star_pairs(rows: DataFrame, could: Could) -> DataFrame:
+def star_pairs(rows: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b), a < b, of each item and the smallest of its part, and of the smallest ones of neighbouring parts."""
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.ceil(F.col("items") / PART)))
     rows = rows.withColumn("me", F.struct("id", "n"))
@@ -49,7 +76,7 @@ def star_pairs(rows: DataFrame, could: Could) -> DataFrame:
     next_lead = W.partitionBy("bucket").orderBy("part")  # one row for each PART items
     leads = leads.select(F.lag("me").over(next_lead).alias("p"), F.col("me").alias("q"))
     pairs = rows.select(F.col("lead").alias("p"), F.col("me").alias("q")).unionByName(leads)
-    pairs = pairs.where("p IS NOT NULL AND p.id != q.id").where(could(F.col("p.n"), F.col("q.n")))
+    pairs = pairs.where("p IS NOT NULL AND p.id != q.id").where(sizes_allow(F.col("p"), F.col("q"), similarity))
     return pairs.select(*_ordered(F.col("p.id"), F.col("q.id"))).distinct()
 
 
@@ -60,12 +87,12 @@ def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(keys.hint("merge"), "bucket", "left_semi")
 
 
-def near_pairs(rows: DataFrame, could: Could, near: int = NEAR) -> DataFrame:
+def near_pairs(rows: DataFrame, similarity: int, words: int, near: int = NEAR) -> DataFrame:
     """Pairs of items of different components that lie side by side among those that share another sketch too.
 
     A bucket of up to ``SMALL`` items isn't parted by its other sketches; a part holds up to PART * PART items.
     """
-    rows = rows.withColumn("me", F.struct("id", "n", "label"))
+    rows = rows.withColumn("me", F.struct("id", "n", "label", "bits"))
     whole = F.array(F.lit(0).cast("long"))
     rows = rows.select("bucket", "me", "items", F.posexplode(F.when(F.col("items") <= SMALL, whole).otherwise(F.col("orders"))).alias("turn", "order"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("me.id"), F.ceil(F.col("items") / (PART * PART))))
@@ -73,11 +100,28 @@ def near_pairs(rows: DataFrame, could: Could, near: int = NEAR) -> DataFrame:
     before = F.array(*(F.lag("me", k).over(chain) for k in range(1, near + 1)))
     rows = rows.select(before.alias("ps"), F.col("me").alias("q"))
     q = F.col("q")
-    open_ = F.filter("ps", lambda p: p.isNotNull() & (p["label"] != q["label"]) & could(p["n"], q["n"]))
+    open_ = F.filter("ps", lambda p: p.isNotNull() & (p["label"] != q["label"]) & sizes_allow(p, q, similarity) & outlines_allow(p, q, similarity, words))
     pairs = rows.select(F.explode(open_).alias("p"), "q")
     return pairs.select(*_ordered(F.col("p.id"), F.col("q.id")))
 
 
+def open_pairs(rows: DataFrame, similarity: int, words: int, meeting: int = MEETING) -> DataFrame:
+    """All pairs of a bucket's items that are of different components and that size and outline allow.
+
+    Of two such items one isn't of the bucket's largest component.  These meet all items, about ``meeting`` in a task.
+    """
+    of_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    most = of_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("x"), F.sum("k").alias("m")).where("x.k < m")
+    most = most.select("bucket", F.col("x.label").alias("main"), F.ceil(F.col("m") / meeting).cast("int").alias("parts"))
+    rows = rows.select("bucket", F.struct("id", "n", "label", "bits").alias("me")).join(most.hint("merge"), "bucket")
+    few = rows.where("me.label != main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("me").alias("p"))
+    all_ = rows.select("bucket", F.pmod(F.xxhash64("me.id"), F.col("parts")).cast("int").alias("part"), "main", F.col("me").alias("q"))
+    p, q = F.col("p"), F.col("q")
+    open_ = (p["label"] != q["label"]) & ((q["label"] == F.col("main")) | (p["id"] < q["id"]))
+    met = few.join(all_.hint("merge"), ["bucket", "part"]).where(open_ & sizes_allow(p, q, similarity) & outlines_allow(p, q, similarity, words))
+    return met.select(*_ordered(p["id"], q["id"]))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, label) of every id that has a link; label is an id of its component, the same for all of them.
 
@@ -120,15 +164,27 @@ def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(old.unionByName(up.join(labels, "id", "left_anti")))
 
 
-def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], could: Could, scratch: Scratch, near: int = NEAR) -> DataFrame:
-    """Labels (id, label) of the components that verified pairs of the buckets make; ``verify`` keeps similar pairs (a, b)."""
+def link_all(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], outline: Callable[[DataFrame], DataFrame], similarity: int, words: int, scratch: Scratch, near: int = NEAR) -> DataFrame:
+    """Labels (id, label) of the components that verified pairs of the buckets make.
+
+    ``verify`` keeps the pairs (a, b) that have ``similarity`` per cent; ``outline`` gives (id, bits) of ids (id).
+    """
     rows = scratch.table(parted(buckets))
-    tried = scratch.table(star_pairs(rows, could))
+    tried = scratch.table(star_pairs(rows, similarity))
     labels = components(scratch.table(verify(tried)), scratch)
     open_rows = scratch.table(mixed(rows, labels))
     scratch.drop(rows)
     if open_rows.isEmpty():
         return labels
-    found = scratch.table(verify(near_pairs(open_rows, could, near).distinct().join(tried, ["a", "b"], "left_anti")))
-    scratch.drop(open_rows, tried)
+    rows = scratch.table(open_rows.join(outline(open_rows.select("id").distinct()), "id", "left"))
+    scratch.drop(open_rows)
+    closer = scratch.table(near_pairs(rows, similarity, words, near).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = scratch.table(verify(closer))
+    if not found.isEmpty():
+        labels = merged(labels, found, scratch)
+    open_rows = scratch.table(mixed(rows.drop("label", "orders"), labels))
+    scratch.drop(rows)
+    rest = open_pairs(open_rows, similarity, words).distinct()
+    found = scratch.table(verify(rest.join(closer.unionByName(tried), ["a", "b"], "left_anti")))
+    scratch.drop(open_rows, tried, closer)
     return labels if found.isEmpty() else merged(labels, found, scratch)

@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import FILTER_BITS, Scratch, bitmap_of, maybe_in, read_table, surely_out
-from ._links import link_all
+from ._links import link_all, outlines
 
 WIDTH = 8
 BANDS, ROWS = 12, 4
 ORDERS = 3  # other bands by which the items of a bucket are put in order
+OUTLINE = 4  # words of 64 bits of a line's outline
 HOT_SHARE = 1000
 LEAST = 5  # distinct shingles that a banded line has
 SMALL = 9  # most distinct shingles of a line whose subsets are keys
@@ -113,6 +114,24 @@ def similar_pairs(pairs: DataFrame, width: int, similarity: int) -> DataFrame:
     return pairs.select("a", "b", "la", "lb").mapInArrow(run, "a long, b long")
 
 
+def line_outlines(lines: DataFrame, width: int, words: int) -> DataFrame:
+    """(id, bits) of lines (id, line): ``_links.outlines`` of their shingle sets."""
+
+    def run(it):
+        import pyarrow as pa
+
+        from ._line_sketch import outline
+        from ._worker import claim
+
+        claim("lines", lambda: None)
+        for batch in it:
+            bits = pa.array(outline(batch.column("line").to_pylist(), width, words).ravel(), pa.int64())
+            offsets = pa.array(range(0, len(bits) + 1, words), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, bits)], ["id", "bits"])
+
+    return lines.select("id", "line").mapInArrow(run, "id long, bits array<long>")
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # the row's key is made before the lines are, not once for each of them
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
@@ -144,8 +163,11 @@ def line_decisions(docs: DataFrame, scratch: Scratch, similarity: int, width: in
     texts = texts.groupBy("id").agg(F.min(F.struct("id2", "line")).alias("x")).join(wanted, "id", "left_semi")
     texts = scratch.table(texts.select("id", "x.id2", "x.line"))
 
-    def could(x: Column, y: Column) -> Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * similarity
+    def outline(ids: DataFrame) -> DataFrame:
+        some = texts.join(ids, "id", "left_semi")
+        if not native:
+            return line_outlines(some, width, OUTLINE)
+        return outlines(some.select("id", F.array_distinct(shingle_hashes("line", width)).alias("items")), OUTLINE)
 
     def verify(pairs: DataFrame) -> DataFrame:
         # texts are exchanged and shingled where they meet: their sets are eight times as large
@@ -158,7 +180,7 @@ def line_decisions(docs: DataFrame, scratch: Scratch, similarity: int, width: in
         sized = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
         return sized.where(F.col("both") * (100 + similarity) >= F.col("n") * similarity).select("a", "b")
 
-    labels = link_all(buckets, verify, could, scratch)
+    labels = link_all(buckets, verify, outline, similarity, OUTLINE, scratch)
     scratch.drop(buckets, shared)
 
     # a line whose 64-bit identifier is another text's by chance has no label: it is equal to its own copies only

@@ -15,15 +15,16 @@ none of its component has one.  Repeated rows stay or go together.  Columns besi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import FILTER_BITS, Scratch, bitmap_of, maybe_in, read_table, without
-from ._links import link_all
+from ._links import link_all, outlines
 
 BANDS, ROWS = 20, 5
 ORDERS = 3  # other bands by which the items of a bucket are put in order
-NEAR = 8  # items before it that an item is paired with, in each order of each of its bands
+NEAR = 8  # items before it that an item is paired with first, in each order of each of its bands
+OUTLINE = 16  # words of 64 bits of a set's outline
 HOT_SHARE = 1000
 _ELEMENTS = 60_000
 
@@ -136,8 +137,8 @@ def minhash_dedup(docs: DataFrame, similarity: int = 85, width: int = 3, bands:
     sets = sets.join(wanted, ["id", "id2"], "left_semi")
     sets = scratch.table(sets.groupBy("id").agg(F.first("items").alias("items")))
 
-    def could(x: Column, y: Column) -> Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * similarity
+    def outline(ids: DataFrame) -> DataFrame:
+        return outlines(sets.join(ids, "id", "left_semi"), OUTLINE)
 
     def verify(pairs: DataFrame) -> DataFrame:
         of_a = sets.select(F.col("id").alias("a"), F.col("items").alias("sa"))
@@ -146,7 +147,7 @@ def minhash_dedup(docs: DataFrame, similarity: int = 85, width: int = 3, bands:
         joined = pairs.join(of_b, "b").join(of_a, "a")
         return joined.where(both * (100 + similarity) >= (F.size("sa") + F.size("sb")) * similarity).select("a", "b")
 
-    labels = link_all(buckets, verify, could, scratch, NEAR)
+    labels = link_all(buckets, verify, outline, similarity, OUTLINE, scratch, NEAR)
     named = classes.select("id", "first_id", "copies").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     # Classes without a link name their component themselves
