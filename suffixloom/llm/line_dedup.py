@@ -34,7 +34,7 @@ from ._links import link_all, outlines
 WIDTH = 8
 BANDS, ROWS = 12, 4
 ORDERS = 3  # other bands by which the items of a bucket are put in order
-OUTLINE = 4  # words of 64 bits of a line's outline
+OUTLINE = 16  # words of 64 bits of a line's outline: unrelated sets of up to 2,300 shingles are told apart
 HOT_SHARE = 1000
 LEAST = 5  # distinct shingles that a banded line has
 SMALL = 9  # most distinct shingles of a line whose subsets are keys

@@ -57,3 +57,27 @@ def test_outlines_differ_no_more_than_sets(spark):
             assert sum(int(v).bit_count() for v in p.view(np.uint64)) % 2 == len(a) % 2
             for b, q in zip(xs, outs):
                 assert sum(int(v).bit_count() for v in (p ^ q).view(np.uint64)) <= len(a ^ b)
+
+
+@pytest.mark.parametrize("native", [True, False])
+def test_open_pairs_of_a_group_without_links_are_few(spark, native):
+    from suffixloom.llm import line_dedup
+    from suffixloom.llm._links import near_pairs, open_pairs, outlines
+
+    rng = random.Random(14)
+    line = "".join(rng.choice(LETTERS) for _ in range(600))
+    rows = []
+    for i in range(200):  # about 460 of 730 shingles shared with each other, none similar
+        own = list(line)
+        for k in range(0, 600, 40):
+            own[k + rng.randrange(40)] = rng.choice(LETTERS.upper())
+        rows.append((i, "".join(own)))
+    lines = spark.createDataFrame(rows, "id long, line string")
+    if native:
+        sets = lines.select("id", line_dedup.F.array_distinct(line_dedup.shingle_hashes("line", line_dedup.WIDTH)).alias("items"))
+        bits = outlines(sets, line_dedup.OUTLINE)
+    else:
+        bits = line_dedup.line_outlines(lines, line_dedup.WIDTH, line_dedup.OUTLINE)
+    met = bits.selectExpr("id", "id AS label", "0L AS bucket", "200L AS items", "593L AS n", "bits", "array(0L) AS orders").localCheckpoint()
+    assert open_pairs(met, 80, line_dedup.OUTLINE).count() <= 20
+    assert near_pairs(met, 80, line_dedup.OUTLINE).count() <= 20
