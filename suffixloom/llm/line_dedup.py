@@ -1,7 +1,7 @@
 """Operator 4: fuzzy line dedup by MinHash, banding, exact Jaccard verification and distributed union-find.
 
-DataFrame operations only, unless ``native`` is off: then lines are signed and verified in numpy over Arrow batches, as in
-the query, whose limits the native form can't meet (README has the figures).  Every line that isn't blank takes part.
+DataFrame operations only, as in the query, whose CPU limit that form exceeds (README has the figures).  If ``native`` is
+off, lines are signed and verified in numpy over Arrow batches.  Every line that isn't blank takes part.
 Its shingles are all runs of ``WIDTH`` UTF-16 code units, in numpy of characters (a shorter line is one shingle), hashed,
 made distinct and sorted.  The hash range is cut at ``BANDS``
 points; a band is the ``ROWS`` smallest hashes from its point on, around the end of the range: a MinHash over one
@@ -158,10 +158,12 @@ def line_decisions(docs: DataFrame, scratch: Scratch, similarity: int, width: in
     buckets = maybe_in(all_buckets, "bucket", bitmap_of(shared, "bucket", filter_bits), filter_bits).distinct()
     buckets = scratch.table(buckets.join(shared.hint("merge"), "bucket", "left_semi"))
 
-    wanted = scratch.table(buckets.select("id").distinct())
+    # the size of a set is known, unless texts of different sizes share an identifier by chance
+    sizes = buckets.groupBy("id").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    wanted = scratch.table(sizes.select("id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("n")))
     texts = maybe_in(lines.select("id", "id2", "line"), "id", bitmap_of(wanted, "id", filter_bits), filter_bits)
-    texts = texts.groupBy("id").agg(F.min(F.struct("id2", "line")).alias("x")).join(wanted, "id", "left_semi")
-    texts = scratch.table(texts.select("id", "x.id2", "x.line"))
+    texts = texts.groupBy("id").agg(F.min(F.struct("id2", "line")).alias("x")).join(wanted, "id")
+    texts = scratch.table(texts.select("id", "n", "x.id2", "x.line"))
 
     def outline(ids: DataFrame) -> DataFrame:
         some = texts.join(ids, "id", "left_semi")
@@ -171,13 +173,14 @@ def line_decisions(docs: DataFrame, scratch: Scratch, similarity: int, width: in
 
     def verify(pairs: DataFrame) -> DataFrame:
         # texts are exchanged and shingled where they meet: their sets are eight times as large
-        of_a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"))
-        of_b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
+        of_a = texts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("line").alias("la"))
+        of_b = texts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("line").alias("lb"))
         joined = pairs.join(of_b, "b").join(of_a, "a")
         if not native:
             return similar_pairs(joined, width, similarity)
-        sets = joined.select("a", "b", F.array_distinct(shingle_hashes("la", width)).alias("sa"), F.array_distinct(shingle_hashes("lb", width)).alias("sb"))
-        sized = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+        hashed = joined.select("a", "b", "na", "nb", shingle_hashes("la", width).alias("sa"), shingle_hashes("lb", width).alias("sb"))
+        size_of = lambda n, hashes: F.coalesce(n, F.size(F.array_distinct(hashes)))
+        sized = hashed.select("a", "b", (size_of("na", "sa") + size_of("nb", "sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
         return sized.where(F.col("both") * (100 + similarity) >= F.col("n") * similarity).select("a", "b")
 
     labels = link_all(buckets, verify, outline, similarity, OUTLINE, scratch)
@@ -234,7 +237,7 @@ def line_dedup(docs: DataFrame, similarity: int = 80, width: int = WIDTH, bands:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup(docs, native=False).select("doc_id", "n_lines", "n_dropped", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 #: The same rows by all pairs of lines that share a shingle; for tables of the size of the tests.

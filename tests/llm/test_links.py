@@ -81,3 +81,20 @@ def test_open_pairs_of_a_group_without_links_are_few(spark, native):
     met = bits.selectExpr("id", "id AS label", "0L AS bucket", "200L AS items", "593L AS n", "bits", "array(0L) AS orders").localCheckpoint()
     assert open_pairs(met, 80, line_dedup.OUTLINE).count() <= 20
     assert near_pairs(met, 80, line_dedup.OUTLINE).count() <= 20
+
+
+def test_op4_is_dataframe_operations_only(spark, tmp_path, monkeypatch):
+    import __spark_entry__
+
+    rows = [(1, "a line of text that stands first\nanother"), (2, "a line of text that stands first!\n" + "-" * 20), (3, "-" * 10), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def python(*_a, **_k):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, python)
+    got = __spark_entry__.queries()["op4_line_dedup"](spark, str(tmp_path))
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in sorted(got.collect())] == [(1, 2, 0, rows[0][1]), (2, 2, 1, "-" * 20), (3, 1, 1, ""), (4, 0, 0, None)]
