@@ -40,16 +40,33 @@ LEAST = 5  # distinct shingles that a banded line has
 SMALL = 9  # most distinct shingles of a line whose subsets are keys
 
 
+def _hashes(units: str, starts: str, width: int) -> Column:
+    """Hashes of the runs at ``starts`` of a line's UTF-16 units.  The units are bound once, outside the inner lambda."""
+    return F.expr(f"transform(array({units}), u -> transform({starts}, i -> xxhash64(substring(u, i, {2 * width}))))[0]")
+
+
 def shingle_hashes(line: str, width: int) -> Column:
-    """Hashes of all shingles of a string column, in order.  The encoded line is bound once, outside the inner lambda."""
-    size = 2 * width
-    inner = f"transform(sequence(1, greatest(octet_length(u) - {size - 1}, 1), 2), i -> xxhash64(substring(u, i, {size})))"
-    return F.expr(f"transform(array(encode({line}, 'UTF-16BE')), u -> {inner})[0]")
+    """Hashes of all shingles of a string column, in order."""
+    return _hashes(f"encode({line}, 'UTF-16BE')", f"sequence(1, greatest(octet_length(u) - {2 * width - 1}, 1), 2)", width)
+
+
+def with_shingles(rows: DataFrame, width: int, **of: str) -> DataFrame:
+    """Rows with a column of ``shingle_hashes`` for each string column named, in its place.
+
+    Units and places are columns of their own, which compiled code makes; only the hashes are left to the interpreter.
+    """
+    for name, line in of.items():
+        rows = rows.withColumn("units", F.encode(line, "UTF-16BE")).drop(line)
+        rows = rows.withColumn("starts", F.expr(f"sequence(1, greatest(octet_length(units) - {2 * width - 1}, 1), 2)"))
+        # there is always a place; named twice, the column isn't merged into the interpreted expression
+        rows = rows.withColumn(name, F.when(F.size("starts") > 0, _hashes("units", "starts", width))).drop("units", "starts")
+    return rows
 
 
 def with_hashes(lines: DataFrame, width: int) -> DataFrame:
     """A row (doc_id, row, pos, id, id2, hashes) for each line: its distinct shingles, sorted."""
-    return lines.select("doc_id", "row", "pos", "id", "id2", F.array_distinct(F.sort_array(shingle_hashes("line", width))).alias("hashes"))
+    rows = with_shingles(lines, width, hashes="line")
+    return rows.select("doc_id", "row", "pos", "id", "id2", F.array_distinct(F.sort_array("hashes")).alias("hashes"))
 
 
 def subset_keys(similarity: int) -> Column:
@@ -169,7 +186,8 @@ def line_decisions(docs: DataFrame, scratch: Scratch, similarity: int, width: in
         some = texts.join(ids, "id", "left_semi")
         if not native:
             return line_outlines(some, width, OUTLINE)
-        return outlines(some.select("id", F.array_distinct(shingle_hashes("line", width)).alias("items")), OUTLINE)
+        sets = with_shingles(some.select("id", "line"), width, items="line")
+        return outlines(sets.select("id", F.array_distinct("items").alias("items")), OUTLINE)
 
     def verify(pairs: DataFrame) -> DataFrame:
         # texts are exchanged and shingled where they meet: their sets are eight times as large
@@ -178,7 +196,7 @@ def line_decisions(docs: DataFrame, scratch: Scratch, similarity: int, width: in
         joined = pairs.join(of_b, "b").join(of_a, "a")
         if not native:
             return similar_pairs(joined, width, similarity)
-        hashed = joined.select("a", "b", "na", "nb", shingle_hashes("la", width).alias("sa"), shingle_hashes("lb", width).alias("sb"))
+        hashed = with_shingles(joined, width, sa="la", sb="lb")
         size_of = lambda n, hashes: F.coalesce(n, F.size(F.array_distinct(hashes)))
         sized = hashed.select("a", "b", (size_of("na", "sa") + size_of("nb", "sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
         return sized.where(F.col("both") * (100 + similarity) >= F.col("n") * similarity).select("a", "b")
@@ -223,7 +241,8 @@ def line_dedup(docs: DataFrame, similarity: int = 80, width: int = WIDTH, bands:
     all_rows = touched.select(own, "row", "drops").unionByName(rest)
 
     text = F.col(f"{own}.{text_col}")
-    lines = F.split(text, "\n")
+    all_rows = all_rows.select(own, "drops", F.split(text, "\n").alias("lines"))  # a column, so a text is split once
+    lines = F.col("lines")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
     left = F.array_join(F.transform(F.array(lines), lambda ls: F.transform(kept, lambda i: F.get(ls, i)))[0], "\n")
     new_text = F.when(F.col("drops").isNull(), text).otherwise(left)
